@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_tokens, bpe_chunks
+from . import arrow_tokens, bpe_chunks, pii, secrets, span_sql
 from .common import documents, scratch
 
 
@@ -17,6 +17,14 @@ def op4_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_tokens.read_documents(manifest)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(documents(spark, sf_dir)))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(documents(spark, sf_dir)))
+
+
 def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_documents(documents(spark, sf_dir), vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN)
 
@@ -24,9 +32,14 @@ def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_arrow_tokens": op4_arrow_tokens,
+        "op5_secrets": op5_secrets,
         "op7_bpe_chunks": op7_bpe_chunks,
+        "op8_pii": op8_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_secrets": span_sql.secrets_sql(),
+        "op8_pii": span_sql.pii_sql(),
+    }
