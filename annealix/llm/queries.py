@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_tokens, bpe_chunks, pii, secrets, span_sql
+from . import arrow_tokens, bpe_chunks, pii, secrets, simhash, span_sql
 from .common import documents, scratch
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "tokens")
     manifest = arrow_tokens.write_token_files(documents(spark, sf_dir), out, vocab.path("byte_bpe_50k.json"), end_id=2)
@@ -31,6 +35,7 @@ def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash": op3_simhash,
         "op4_arrow_tokens": op4_arrow_tokens,
         "op5_secrets": op5_secrets,
         "op7_bpe_chunks": op7_bpe_chunks,
