@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_tokens, bpe_chunks, pii, secrets, simhash, span_sql
+from . import arrow_tokens, bpe_chunks, pii, quality_mcd, secrets, simhash, span_sql
 from .common import documents, scratch
 
 
+def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mcd.judge(documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -35,6 +39,7 @@ def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_mcd": op1_quality_mcd,
         "op3_simhash": op3_simhash,
         "op4_arrow_tokens": op4_arrow_tokens,
         "op5_secrets": op5_secrets,
