@@ -26,23 +26,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, pick
 
-#: A cut before a single space between two characters that are not white space is
-#: a pre-token boundary in any context: no alternative of the pattern goes on past it.
-_ODD_SPACE = re.compile(r" \s|\s ")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_MAX_CACHE, _MAX_WORD = 200_000, 40
+_MAX_CACHE, _MAX_WORD = 300_000, 40
 
 
 class PieceEncoder:
     """Encodes texts with the tokenizers library, remembering short pieces.
 
-    ``words`` maps the text between two single spaces to its ids (with the
-    leading space). The memory is bounded: it is cleared when full.
+    A single space between two characters that are not white space starts a
+    pre-token in any context, so a text can be cut there and its pieces encoded
+    apart. ``words`` maps what follows such a space to its ids (with the space).
+    A batch is cut and its distinct pieces found by Arrow; the library is called
+    for pieces not yet known, and the ids of all texts are gathered by NumPy. A
+    text with other white space beside a space is encoded whole.
+
+    Memory is bounded: pieces not seen since ``words`` was last full are dropped.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -53,42 +56,92 @@ class PieceEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.dtype = dtype
+        self.dtype = np.dtype(dtype)
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        space = self.tok.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        vocab = self.tok.get_vocab()
+        self.leads = np.zeros(max(vocab.values()) + 1, bool)
+        self.leads[[i for t, i in vocab.items() if t.startswith(space)]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text):
-            first, *rest = _CUT.split(text)
-            rest = [p[1:] for p in rest]
-        else:
-            first, *rest = text.split(" ")
-            if rest and not rest[-1]:  # ends with a space
-                rest.pop()
-                tail = (rest.pop() if rest else None)
-                if tail is None:
-                    return self._library([text])[0]
-                rest.append(tail + " ")
-            if not first:  # begins with a space: the first piece keeps it
-                first = " " + rest.pop(0) if rest else " "
-        words = self.words
-        if len(words) > _MAX_CACHE:
-            words.clear()
-        missing = {w for w in rest if w not in words}
-        if missing:
-            todo = list(missing)
-            for w, raw in zip(todo, self._library([" " + w for w in todo])):
-                words[w] = raw
-        out = self._library([first])[0] + b"".join([words[w] for w in rest])
-        for w in missing:
-            if len(w) > _MAX_WORD:
-                del words[w]
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without spaces, each with a space before it.
+
+        Many are encoded as one text and told apart by the tokens that begin
+        with a space, which only a piece's first token does.
+        """
+        out: list[bytes] = []
+        parts = [pieces[at : at + 256] for at in range(0, len(pieces), 256)]
+        for part, raw in zip(parts, self._library([" " + " ".join(p) for p in parts])):
+            starts = np.flatnonzero(self.leads[np.frombuffer(raw, self.dtype)]) * self.dtype.itemsize
+            if len(starts) != len(part):
+                raise AssertionError("a token within a piece begins with a space")
+            stops = [*starts[1:].tolist(), len(raw)]
+            out += [raw[a:b] for a, b in zip(starts.tolist(), stops)]
         return out
 
+    def _known(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of distinct pieces, and the places of those that are not safe to cut at."""
+        if len(self.words) > _MAX_CACHE:
+            self.old, self.words = self.words, {}
+        words, old = self.words, self.old
+        out = [words.get(w) for w in pieces]
+        for k in [k for k, raw in enumerate(out) if raw is None]:
+            raw = old.get(pieces[k])
+            if raw is not None:
+                out[k] = words[pieces[k]] = raw
+        missing = [k for k, raw in enumerate(out) if raw is None]
+        unsafe = [k for k in missing if not pieces[k] or pieces[k].strip() != pieces[k]]
+        for k in unsafe:
+            out[k] = b""
+        missing = [k for k in missing if out[k] is None]
+        for k, raw in zip(missing, self._learn([pieces[k] for k in missing])):
+            out[k] = raw
+            if len(pieces[k]) <= _MAX_WORD:
+                words[pieces[k]] = raw
+        return out, unsafe
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after another, and the number of each text's (``end`` included)."""
+        size = self.dtype.itemsize
+        n = len(texts)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = split.flatten().dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pieces = coded.dictionary.to_pylist()
+        entries, unsafe = self._known(pieces)
+        starts, counts = offsets[:-1], np.diff(offsets)
+        whole = np.zeros(n, bool)
+        if unsafe:
+            odd = np.zeros(len(pieces), bool)
+            odd[unsafe] = True
+            whole = np.add.reduceat(odd[index], starts) > 0
+        # A text's first piece has no space before it; an odd text is one piece.
+        first = [texts[k].as_py() if w else pieces[index[s]] for k, (w, s) in enumerate(zip(whole.tolist(), starts.tolist()))]
+        entries += self._library(first)
+        index[starts] = len(pieces) + np.arange(n)
+        keep = ~np.repeat(whole, counts)
+        keep[starts] = True
+        index, counts = index[keep], np.where(whole, 1, counts)
+        if end is not None:
+            index = np.insert(index, np.cumsum(counts), len(entries))
+            entries.append(np.array([end], self.dtype).tobytes())
+            counts = counts + 1
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // size
+        at = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(entries), self.dtype)
+        lens = sizes[index]
+        stops = np.cumsum(lens)
+        ids = pool[np.repeat(at[index] - (stops - lens), lens) + np.arange(stops[-1])]
+        return ids, np.add.reduceat(lens, np.cumsum(counts) - counts)
+
 
 @lru_cache(maxsize=2)
 def load_encoder(path: str, dtype: str) -> PieceEncoder:
@@ -174,7 +227,6 @@ def write_token_files(
 
         part = TaskContext.get().partitionId()
         enc = load_encoder(tokenizer_path, dtype)
-        end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
         fs, folder = _fs(out_dir)
         out, index, offset, n_docs = None, None, 0, 0
         for b in batches:
@@ -188,12 +240,8 @@ def write_token_files(
                 index_sink = fs.open_output_stream(index_tmp)
                 index_schema = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
                 index = pa.ipc.new_file(index_sink, index_schema)
-            counts = []
-            for text in b.column("text").to_pylist():
-                raw = enc.encode(text) + end
-                out.add(raw)
-                counts.append(len(raw) // np.dtype(dtype).itemsize)
-            counts = np.array(counts, np.int64)
+            ids, counts = enc.encode(b.column("text"), end_id)
+            out.add(ids.tobytes())
             starts = offset + np.cumsum(counts) - counts
             index.write_batch(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(starts), pa.array(counts)], schema=index_schema))
             offset += int(counts.sum())

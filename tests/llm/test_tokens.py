@@ -43,8 +43,11 @@ def test_piece_encoder_equals_library():
     tok = Tokenizer.from_file(JSON)
     tok.encode_special_tokens = True
     enc = arrow_tokens.PieceEncoder(JSON, "<u2")
-    for t in [t or "" for t in ODD] * 2:
-        assert np.frombuffer(enc.encode(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    texts = [t or "" for t in ODD] * 2 + ["a ", " a", "a\n b", "a \nb", "  ", "x Ġy  Ġ", "it 's 'll"]
+    for some in (texts, texts[5:], [texts[-1]]):
+        ids, counts = enc.encode(pa.array(some), 2)
+        for t, got in zip(some, np.split(ids, np.cumsum(counts)[:-1])):
+            assert got.tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2], t
 
 
 def test_token_files(spark):
