@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_tokens, bpe_chunks, pii, quality_mcd, secrets, simhash, span_sql
+from . import arrow_tokens, bpe_chunks, pii, quality_mcd, secrets, simhash, span_sql, toxicity
 from .common import documents, scratch
 
 
@@ -33,6 +33,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(documents(spark, sf_dir)))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_documents(documents(spark, sf_dir), vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN)
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_arrow_tokens": op4_arrow_tokens,
         "op5_secrets": op5_secrets,
+        "op6_toxicity": op6_toxicity,
         "op7_bpe_chunks": op7_bpe_chunks,
         "op8_pii": op8_pii,
     }
