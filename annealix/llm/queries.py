@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_tokens, bpe_chunks, pii, quality_mcd, secrets, simhash, span_sql, toxicity
+from . import arrow_tokens, bpe_chunks, decontaminate, pii, quality_mcd, secrets, simhash, span_sql, toxicity
 from .common import documents, scratch
 
 
@@ -15,6 +15,10 @@ def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.judge(documents(spark, sf_dir))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_mcd": op1_quality_mcd,
+        "op2_decontaminate": op2_decontaminate,
         "op3_simhash": op3_simhash,
         "op4_arrow_tokens": op4_arrow_tokens,
         "op5_secrets": op5_secrets,
