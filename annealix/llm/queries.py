@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import arrow_tokens, bpe_chunks, decontaminate, pii, quality_mcd, secrets, simhash, span_sql, toxicity
+from . import arrow_tokens, bpe_chunks, decontaminate, pii, quality_mcd, secrets, shards, simhash, span_sql, toxicity
 from .common import documents, scratch
 
 
@@ -45,6 +46,19 @@ def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_documents(documents(spark, sf_dir), vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN)
 
 
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four arrivals (by id) into a store; the rows read back from its last version."""
+    docs = documents(spark, sf_dir)
+    arrival = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4))
+    store = shards.ingest(docs, scratch(spark, "shards"), arrival=arrival, arrivals=4)
+    return store.read(schema=docs.schema).select("doc_id", arrival.cast("int").alias("arrival"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+OP9_SQL = """
+SELECT doc_id, CAST(((coalesce(doc_id, 0) % 4) + 4) % 4 AS INT) AS arrival, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
+FROM documents"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_mcd": op1_quality_mcd,
@@ -55,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_bpe_chunks": op7_bpe_chunks,
         "op8_pii": op8_pii,
+        "op9_shards": op9_shards,
     }
 
 
@@ -62,4 +77,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_secrets": span_sql.secrets_sql(),
         "op8_pii": span_sql.pii_sql(),
+        "op9_shards": OP9_SQL,
     }
