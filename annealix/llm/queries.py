@@ -8,7 +8,7 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_tokens, bpe_chunks, decontaminate, pii, quality_mcd, secrets, shards, simhash, span_sql, toxicity
+from . import arrow_tokens, bpe_chunks, decontaminate, pii, quality_mcd, repeats, secrets, shards, simhash, span_sql, toxicity
 from .common import documents, scratch
 
 
@@ -54,6 +54,10 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(schema=docs.schema).select("doc_id", arrival.cast("int").alias("arrival"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 OP9_SQL = """
 SELECT doc_id, CAST(((coalesce(doc_id, 0) % 4) + 4) % 4 AS INT) AS arrival, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
 FROM documents"""
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe_chunks": op7_bpe_chunks,
         "op8_pii": op8_pii,
         "op9_shards": op9_shards,
+        "op10_repeats": op10_repeats,
     }
 
 
