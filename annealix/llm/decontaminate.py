@@ -216,18 +216,70 @@ def find_leaks(
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: the best window of each document and item."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
     base = pick(docs, id_col, text_col)
+    schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
+    indexes = _indexes(docs.sparkSession, benchmark, item_col, item_text_col, words, threshold, block_bytes)
+    return reduce(DataFrame.unionByName, [base.mapInArrow(_scan(shared), schema) for shared in indexes])
+
+
+def drop_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    words: int = 5,
+    threshold: float = 0.8,
+    block_bytes: int = 16 << 20,
+) -> DataFrame:
+    """The rows of docs, with all their columns, without any window like an item. Nothing is shuffled."""
+    for shared in _indexes(docs.sparkSession, benchmark, item_col, item_text_col, words, threshold, block_bytes):
+        docs = docs.mapInArrow(_keep(shared, text_col), docs.schema)
+    return docs
+
+
+def _indexes(spark, benchmark: DataFrame, item_col: str, item_text_col: str, words: int, threshold: float, block_bytes: int) -> list:
+    """Broadcast indexes of blocks of items."""
+    bounded_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
     total = int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     blocks = max(1, -(-total // block_bytes))
-    parts = []
+    out = []
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(build_index(sorted(map(tuple, rows), key=str), words, threshold))
-        parts.append(base.mapInArrow(_scan(shared), "doc_id long, item_id long, similarity double, first_word long, n_words long"))
-    return reduce(DataFrame.unionByName, parts)
+        out.append(spark.sparkContext.broadcast(build_index(sorted(map(tuple, rows), key=str), words, threshold)))
+    return out
+
+
+def _found(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, dict[int, tuple[float, int, int]]]]:
+    """Places of texts with any shingle of an item, and the items found there."""
+    flat, counts = word_hashes(texts)
+    stops = np.cumsum(counts)
+    marks = {}
+    for s in index.sizes:
+        if len(flat) >= s:
+            h = shingle(flat, s)
+            marks[s] = h, index.hits(h, s)
+    any_hit = np.zeros(len(counts), bool)
+    for _, hit in marks.values():
+        any_hit[np.searchsorted(stops, np.flatnonzero(hit), side="right")] = True
+    for k in np.flatnonzero(any_hit).tolist():
+        lo, hi = int(stops[k] - counts[k]), int(stops[k])
+        own = {s: (h[lo : hi - s + 1], hit[lo : hi - s + 1]) for s, (h, hit) in marks.items() if hi - lo >= s}
+        yield k, index.search(flat[lo:hi], own)
+
+
+def _keep(shared, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pc.fill_null(b.column(text_col).cast(pa.string()), "")
+            stay = np.ones(b.num_rows, bool)
+            for k, items in _found(shared.value, texts):
+                stay[k] = not items
+            yield b.filter(pa.array(stay))
+
+    return run
 
 
 def _scan(shared):
@@ -235,22 +287,9 @@ def _scan(shared):
         index: ItemIndex = shared.value
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
-            flat, counts = word_hashes(b.column("text"))
-            stops = np.cumsum(counts)
-            marks = {}
-            for s in index.sizes:
-                if len(flat) >= s:
-                    h = shingle(flat, s)
-                    marks[s] = h, index.hits(h, s)
-            any_hit = np.zeros(len(counts), bool)
-            for _, hit in marks.values():
-                places = np.flatnonzero(hit)
-                any_hit[np.searchsorted(stops, places, side="right")] = True
             ids = b.column("doc_id").to_pylist()
-            for k in np.flatnonzero(any_hit).tolist():
-                lo, hi = int(stops[k] - counts[k]), int(stops[k])
-                own = {s: (h[lo : hi - s + 1], hit[lo : hi - s + 1]) for s, (h, hit) in marks.items() if hi - lo >= s}
-                for item, (sim, start, n) in sorted(index.search(flat[lo:hi], own).items()):
+            for k, items in _found(index, b.column("text")):
+                for item, (sim, start, n) in sorted(items.items()):
                     for col, v in zip(out, (ids[k], index.ids[item], sim, start, n)):
                         col.append(v)
             types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]

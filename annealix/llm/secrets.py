@@ -85,14 +85,18 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return every.join(grouped, "rid", "left").select("doc_id", "rid", F.coalesce("spans", none).alias("spans"))
 
 
-def redact(docs: DataFrame, *, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """The documents with every strong part cut out of the text; other columns stay.
+def redact(docs: DataFrame, *, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The documents with every reported span cut out of the text; other columns stay.
 
-    Weak parts need a second look, so they are reported but not cut.
+    ``length_col`` names a column that holds the text's length and follows it.
     """
-    spans = add_spans(docs.withColumn("_whole", F.coalesce(F.col(text_col), F.lit(""))), KINDS[:3], text="_whole", out="_spans")
-    cut = F.when(F.size("_spans") > 0, cut_out(F.col("_whole"), F.col("_spans"), mark)).otherwise(F.col(text_col))
-    return spans.withColumn(text_col, cut).select(*docs.columns)
+    found = find_secrets(docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0).select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
+    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).join(found, "_rid", "left")
+    cut = F.when(F.col("_spans").isNotNull(), cut_out(F.coalesce(F.col(text_col), F.lit("")), F.col("_spans"), mark)).otherwise(F.col(text_col))
+    out = rows.withColumn(text_col, cut)
+    if length_col:
+        out = out.withColumn(length_col, F.when(F.col("_spans").isNotNull(), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return out.select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

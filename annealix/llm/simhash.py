@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise, pick
@@ -109,16 +109,17 @@ def fingerprint(texts: list[bytes], words: int = 3) -> np.ndarray:
     return out.astype(np.uint64).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, fp (long)."""
-    bounded_batches(docs.sparkSession)
+def fingerprints(rows: DataFrame, *, words: int = 3, keep: str | None = None) -> DataFrame:
+    """doc_id, fp (long), of rows with doc_id and text, and the long column ``keep``."""
+    bounded_batches(rows.sparkSession)
+    held = ["doc_id", *([keep] if keep else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = fingerprint([t.as_buffer().to_pybytes() for t in b.column("text")], words)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in held), pa.array(fp)], [*held, "fp"])
 
-    return pick(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return rows.select(*held, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*held, "fp"]))
 
 
 def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
@@ -140,14 +141,32 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     return homes.alias("h").join(spreads.alias("s"), (F.col("h.anchor") == F.col("s.anchor")) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), n_links (fingerprints linked to it)."""
-    rows = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+def _components(rows: DataFrame, least: Column, threshold: int) -> DataFrame:
+    """fp, component, least (of the fingerprint), named (least of the component), n_links for the fingerprints of rows."""
+    distinct = materialise(rows.groupBy("fp").agg(F.min(least).alias("least")), "distinct-fingerprints")
     pairs = materialise(links(distinct, threshold), "fingerprint-links")
     parts = connected_components(pairs)
     degree = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
     labelled = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(named, "component").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    named = labelled.groupBy("component").agg(F.min("least").alias("named"))
+    return labelled.join(named, "component").join(degree, "fp", "left").select("fp", "named", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 2) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), n_links (fingerprints linked to it)."""
+    rows = materialise(fingerprints(pick(docs, id_col, text_col), words=words), "fingerprints")
+    by_fp = _components(rows, F.col("doc_id"), threshold)
+    return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("named").alias("component_id"), "n_links")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 2) -> DataFrame:
+    """The rows of docs, with all their columns, less all but one of each component.
+
+    The row of the least id stays (of rows with that id, or with none, the first).
+    """
+    row = F.monotonically_increasing_id()
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row.alias("doc_id"))
+    rows = materialise(fingerprints(keyed, words=words, keep="id"), "fingerprints")
+    by_fp = _components(rows, F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("row")), threshold)
+    stay = by_fp.select(F.col("named.row").alias("_row")).distinct()
+    return docs.withColumn("_row", row).join(stay, "_row", "left_semi").select(*docs.columns)

@@ -2,7 +2,7 @@
 
 ``fit`` takes a bounded sample of labelled rows (``max_examples``, the rows with
 the least hash of their id), counts the sample's terms by label, keeps up to
-``max_terms`` terms whose log-odds differ significantly between the labels, and
+``max_terms`` terms that are significantly more frequent with the label, and
 makes a TF-IDF vector of every example. Examples of equal vectors are one entry
 with their numbers. Entries are sorted and cut into blocks; per term and block
 the index keeps the largest weight.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pick
+from .common import bounded_batches, materialise, pick
 
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -51,12 +51,13 @@ class Index:
     prior: float
     k: int
     pull: float
-    block: int = 32
+    block: int = 64
     known: list[float] = field(default_factory=list)
     mapped: list[float] = field(default_factory=list)
 
     def build(self, vectors: list[dict[int, float]], counts: list[int], toxic: list[int], ids: list[list[int]]) -> None:
         order = sorted(range(len(vectors)), key=lambda i: sorted(vectors[i].items()))
+        self.order = order
         self.n = np.array([counts[i] for i in order], np.int64)
         self.toxic = np.array([toxic[i] for i in order], np.int64)
         self.ids = [ids[i] for i in order]
@@ -75,7 +76,8 @@ class Index:
         self.n_blocks = -(-len(order) // self.block)
 
     def vector(self, tf: dict[str, int]) -> dict[int, float]:
-        v = {self.terms[t]: (1 + math.log(c)) * self.idf[self.terms[t]] for t, c in tf.items()}
+        """Unit vector of damped term counts."""
+        v = {self.terms[t]: c * float(self.idf[self.terms[t]]) for t, c in tf.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()}
 
@@ -118,11 +120,15 @@ class Index:
         w = s * s
         return float((w @ (self.toxic[e] - own * label) + self.pull * self.prior) / (w @ (self.n[e] - own) + self.pull))
 
-    def calibrate(self, vectors: list[dict[int, float]], order: list[int]) -> None:
-        """Isotonic regression (pool adjacent violators) of labels on votes without the example itself."""
+    def calibrate(self, vectors: list[dict[int, float]], most: int = 4000) -> None:
+        """Isotonic regression (pool adjacent violators) of labels on votes without the example itself.
+
+        Of the entries ``most`` at even steps take part.
+        """
         points: Counter = Counter()
         good: Counter = Counter()
-        for e, i in enumerate(order):
+        for e in range(0, len(vectors), -(-len(vectors) // most) or 1):
+            i = self.order[e]
             for label, many in ((1, int(self.toxic[e])), (0, int(self.n[e] - self.toxic[e]))):
                 if many:
                     p = round(self.vote(vectors[i], e, label), 9)
@@ -150,6 +156,26 @@ def _terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
+def _damped(tf: Counter) -> dict[str, int]:
+    """Term counts as powers of two, so that texts of like counts are one entry."""
+    return {t: c.bit_length() for t, c in tf.items()}
+
+
+def _signature(terms: list[str]) -> int:
+    """Least hash of the runs of three terms; near copies mostly share it."""
+    import xxhash
+
+    return min((xxhash.xxh32_intdigest(" ".join(x)) for x in zip(terms, terms[1:], terms[2:])), default=-1 - xxhash.xxh32_intdigest(" ".join(terms)))
+
+
+def _association(n: Column, pos: Column, df: Column, a: Column) -> Column:
+    """Root of the likelihood-ratio statistic of term and label, negative if the term is rarer with the label."""
+    total = F.lit(0.0)
+    for seen, row, col in ((a, df, pos), (df - a, df, n - pos), (pos - a, n - df, pos), (n - df - pos + a, n - df, n - pos)):
+        total = total + F.when(seen > 0, seen * F.log(seen * n / (row * col))).otherwise(F.lit(0.0))
+    return F.sqrt(F.greatest(2 * total, F.lit(0.0))) * F.when(a * n > df * pos, 1).otherwise(-1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_examples: int, max_terms: int, least: float, k: int, pull: float) -> Index:
     """The index of a bounded sample of labelled rows."""
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
@@ -161,37 +187,69 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, tfs = [], []
+            names, tfs, signs = [], [], []
             for t in b.column("text").to_pylist():
-                tf = Counter(_terms(t))
+                terms = _terms(t)
+                tf = _damped(Counter(terms))
                 names.append(list(tf))
                 tfs.append(list(tf.values()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(names, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "tf"])
-
-    def counted() -> DataFrame:
-        return texts.select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic int, terms array<string>, tf array<int>")
-
-    totals = counted().agg(F.count("*"), F.sum("toxic")).first()
-    n, pos = int(totals[0]), int(totals[1] or 0)
-    # Significance of the log-odds ratio, with half a case added to each cell.
-    a, c = F.col("a") + 0.5, F.col("df") - F.col("a") + 0.5
-    b, d = pos - F.col("a") + 0.5, n - pos - F.col("df") + F.col("a") + 0.5
-    z = (F.log(a) + F.log(d) - F.log(b) - F.log(c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    df = counted().select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").cast("long").alias("a")).where(F.col("df") >= 3)
+                signs.append(_signature(terms))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(signs, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32()))], ["doc_id", "toxic", "sign", "terms", "tf"])
+
+    held = materialise(texts.select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic int, sign long, terms array<string>, tf array<int>"), "examples")
+    # Near copies would make any word of theirs look telling, so terms are judged on one example of each group.
+    single = held.groupBy("sign").agg(F.min_by("doc_id", F.struct("doc_id")).alias("doc_id"))
+    single = held.join(single.select("doc_id"), "doc_id", "left_semi")
+    n, pos = (int(x or 0) for x in single.agg(F.count("*"), F.sum("toxic")).first())
+    df = single.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").cast("long").alias("a")).where(F.col("df") >= 3)
+    z = _association(F.lit(float(n)), F.lit(float(pos)), F.col("df").cast("double"), F.col("a").cast("double"))
     best = df.withColumn("z", z).where(F.col("z") >= least).orderBy(F.desc("z"), "term").limit(max_terms).collect()
     terms = {r.term: i for i, r in enumerate(best)}
     idf = np.array([math.log((1 + n) / (1 + r.df)) + 1 for r in best])
-    index = Index(terms, idf, pos / n if n else 0.0, k, pull)
-    held = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    pairs = F.filter(F.arrays_zip("terms", "tf"), lambda x: F.array_contains(held, x["terms"]))
-    rows = counted().select("doc_id", "toxic", F.array_sort(pairs).alias("tf")).groupBy("tf").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("ids")).collect()
-    vectors = [index.vector({x["terms"]: x["tf"] for x in r.tf}) for r in rows]
-    order = sorted(range(len(vectors)), key=lambda i: sorted(vectors[i].items()))
+    index = Index(terms, idf, 0.0, k, pull)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [",".join(f"{t}:{c}" for t, c in sorted(zip(ts, cs)) if t in terms) for ts, cs in zip(b.column("terms").to_pylist(), b.column("tf").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(keys, pa.string())], ["doc_id", "toxic", "key"])
+
+    rows = held.mapInArrow(known, "doc_id long, toxic int, key string").groupBy("key").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("ids")).collect()
+    rows.sort(key=lambda r: r.key)
+    examples = sum(r.n for r in rows)
+    index.prior = sum(int(r.toxic) for r in rows) / examples if examples else 0.0
+    vectors = [index.vector({t: int(c) for t, c in (x.split(":") for x in r.key.split(",") if x)}) for r in rows]
     index.build(vectors, [r.n for r in rows], [int(r.toxic) for r in rows], [list(r.ids) for r in rows])
-    index.calibrate(vectors, order)
+    index.calibrate(vectors)
     return index
 
 
+class Judge:
+    """Score, evidence and known terms of a text; remembers texts of equal term counts."""
+
+    def __init__(self, index: Index):
+        self.index, self.seen = index, {}
+
+    def __call__(self, text: str) -> tuple[float, str, str]:
+        ix = self.index
+        tf = _damped(Counter([t for t in _terms(text) if t in ix.terms]))
+        key = tuple(sorted(tf.items()))
+        if key not in self.seen:
+            if len(self.seen) > 50_000:
+                self.seen.clear()
+            v = ix.vector(tf) if tf else {}
+            e, s = ix.nearest(v)
+            evidence = ";".join(f"{i}:{x:.3f}" for j, x in zip(e[:5].tolist(), s[:5].tolist()) for i in ix.ids[j][:1])
+            self.seen[key] = ix.score(ix.vote(v)), evidence, ",".join(tf)
+        return self.seen[key]
+
+
+#: Of the labelled sample at most ``max_examples`` rows are used, and at most
+#: ``max_terms`` terms; ``least`` is the root of the likelihood-ratio statistic
+#: from which a term is used, ``k`` the number of nearest examples and ``pull``
+#: the weight of the prior among their votes.
+DEFAULTS = {"max_examples": 20_000, "max_terms": 1_000, "least": 5.0, "k": 25, "pull": 0.5}
+
+
 def score(
     docs: DataFrame,
     labels: DataFrame,
@@ -199,44 +257,36 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    max_examples: int = 20_000,
-    max_terms: int = 2_000,
-    least: float = 3.5,
-    k: int = 25,
-    pull: float = 0.5,
-    keep: tuple[str, ...] = (),
+    **fitting,
 ) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (nearest examples with similarity), terms; with ``keep``, these columns of docs too.
-
-    ``max_examples`` bounds the labelled sample; ``least`` is the significance
-    (in standard errors) from which a term is used.
-    """
+    """doc_id, held_out, score, predicted, evidence (nearest examples with similarity), terms. ``fitting``: see DEFAULTS."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    index = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_examples=max_examples, max_terms=max_terms, least=least, k=k, pull=pull)
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **(DEFAULTS | fitting)))
     rows = pick(docs, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
-        terms = ix.terms
-        seen: dict[tuple, tuple[float, str]] = {}
+        judge = Judge(shared.value)
         for b in batches:
-            scores, evidence, words = [], [], []
-            for text in b.column("text").to_pylist():
-                tf = Counter([t for t in _terms(text) if t in terms])
-                key = tuple(sorted(tf.items()))
-                if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    v = ix.vector(tf) if tf else {}
-                    e, s = ix.nearest(v)
-                    shown = ";".join(f"{i}:{x:.3f}" for j, x in zip(e[:5].tolist(), s[:5].tolist()) for i in ix.ids[j][:1])
-                    seen[key] = ix.score(ix.vote(v)), shown
-                p, shown = seen[key]
-                scores.append(p)
-                evidence.append(shown)
-                words.append(",".join(t for t, _ in key))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(p >= 0.5) for p in scores], pa.int32()), pa.array(evidence, pa.string()), pa.array(words, pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence", "terms"])
+            found = [judge(t) for t in b.column("text").to_pylist()]
+            scores = [p for p, _, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(p >= 0.5) for p in scores], pa.int32()), *(pa.array([x[i] for x in found], pa.string()) for i in (1, 2))],
+                ["doc_id", "held_out", "score", "predicted", "evidence", "terms"],
+            )
 
     return rows.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence string, terms string")
+
+
+def reject(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, **fitting) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under ``threshold``. Nothing is shuffled."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **(DEFAULTS | fitting)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(shared.value)
+        for b in batches:
+            yield b.filter(pa.array([judge(t or "")[0] < threshold for t in b.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -60,7 +60,7 @@ def test_block_max_search_is_exact():
     vectors = [ix.vector(dict(t)) for t in sorted(tfs)]
     counts = [r.randint(1, 3) for _ in vectors]
     ix.build(vectors, counts, [r.randint(0, c) for c in counts], [[i] for i in range(len(vectors))])
-    order = sorted(range(len(vectors)), key=lambda i: sorted(vectors[i].items()))
+    order = ix.order
     for q in vectors[:80]:
         sims = np.array([sum(w * vectors[i].get(t, 0.0) for t, w in q.items()) for i in order])
         size = np.array([counts[i] for i in order])
