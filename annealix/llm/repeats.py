@@ -34,16 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, pick
+from .common import bounded_batches, key_of, materialise, pick, with_texts
+from .hashing import mix
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Window starts handled at once; longer texts are parsed in pieces.
 _PIECE = 1 << 20
-_BITS = 27
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -52,18 +52,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
 class Hasher:
     """Hashes of any byte range of a buffer from running sums."""
 
     def __init__(self, room: int = 2 * _PIECE):
         self.up, self.down = _powers(_BASE, room + 1), _powers(_INVERSE, room + 1)
-        self.table = _mix(np.arange(1, 257, dtype=np.uint64))
+        self.table = mix(np.arange(1, 257, dtype=np.uint64))
 
     def load(self, data: np.ndarray) -> None:
         if len(data) >= len(self.up):
@@ -72,12 +66,12 @@ class Hasher:
         np.cumsum(self.table[data] * self.up[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[stop] - self.sums[start]) * self.down[start])
+        return mix((self.sums[stop] - self.sums[start]) * self.down[start])
 
     def runs(self, n: int) -> np.ndarray:
         """Hashes of all n-byte strings."""
         diff = self.sums[n:] - self.sums[:-n]
-        return _mix(diff * self.down[: len(diff)])
+        return mix(diff * self.down[: len(diff)])
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -113,7 +107,7 @@ def phrases(hasher: Hasher, data: np.ndarray, spans: np.ndarray, length: int, se
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(piece)) - 1
     lo, hi, at = start[first], start[last], trigger[first]
-    context = hasher.of(lo, hi + length) ^ _mix(((hi - lo) << 20 | (at - lo)).astype(np.uint64))
+    context = hasher.of(lo, hi + length) ^ mix(((hi - lo) << 20 | (at - lo)).astype(np.uint64))
     return piece[first], lo, hi, h[at], context
 
 
@@ -142,11 +136,6 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def key_of(text: Column) -> Column:
-    """Names a text: equal texts have equal keys."""
-    return F.xxhash64(text, F.octet_length(text))
-
-
 def parse(texts: DataFrame, length: int, seed: int, piece_bytes: int = _PIECE) -> DataFrame:
     """tk, lo, hi, seed, ctx: one row per phrase. ``texts`` has tk and text."""
 
@@ -166,21 +155,6 @@ def parse(texts: DataFrame, length: int, seed: int, piece_bytes: int = _PIECE) -
     return texts.select("tk", "text").mapInArrow(run, "tk long, lo int, hi int, seed long, ctx long")
 
 
-def with_texts(texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` (one per tk) beside their text.
-
-    A bitmap of 2**27 bits (at most 16 MB) of the keys keeps most other texts
-    out of the shuffle; the join decides.
-    """
-    bit = lambda tk: F.pmod(tk, F.lit(1 << _BITS))
-    maps = keyed.select(bit(F.col("tk")).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bitmap"))
-    at = F.bitmap_bit_position(bit(F.col("tk")))
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = texts.withColumn("bucket", F.bitmap_bucket_number(bit(F.col("tk")))).join(F.broadcast(maps), "bucket")
-    held = marked.where(F.pmod(F.floor(byte / F.pow(F.lit(2.0), at % 8)), F.lit(2)) == 1).select("tk", "text")
-    return held.join(keyed, "tk")
-
-
 def _strings(units: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """tk, at, hash, tag (of the trigger), once: one row per string of the given phrases."""
     per_text = units.groupBy("tk").agg(F.collect_list(F.struct("lo", "hi", "seed", "once")).alias("units"))

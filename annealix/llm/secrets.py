@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pick
+from .common import key_of, materialise, pick
 from .spans import Kind, add_spans, counted, cut_out, written
 
 SCOPE = 200
@@ -85,18 +85,21 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return every.join(grouped, "rid", "left").select("doc_id", "rid", F.coalesce("spans", none).alias("spans"))
 
 
-def redact(docs: DataFrame, *, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, *, mark: str = "[SECRET]", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """The documents with every reported span cut out of the text; other columns stay.
 
     ``length_col`` names a column that holds the text's length and follows it.
     """
-    found = find_secrets(docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0).select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).join(found, "_rid", "left")
-    cut = F.when(F.col("_spans").isNotNull(), cut_out(F.coalesce(F.col(text_col), F.lit("")), F.col("_spans"), mark)).otherwise(F.col(text_col))
-    out = rows.withColumn(text_col, cut)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # What is found depends on the text alone, so texts are matched by their hashes.
+    named = docs.select(key_of(text).alias("doc_id"), text.alias("text"))
+    found = find_secrets(named).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_tk")).agg(F.first("spans").alias("_spans"))
+    rows = docs.withColumn("_tk", key_of(text)).join(found, "_tk", "left")
+    cut = F.when(F.col("_spans").isNotNull(), cut_out(text, F.col("_spans"), mark)).otherwise(F.col(text_col))
+    out = rows.withColumn("_cut", cut)
     if length_col:
-        out = out.withColumn(length_col, F.when(F.col("_spans").isNotNull(), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*docs.columns)
+        out = out.withColumn(length_col, F.when(F.col("_spans").isNotNull(), F.length("_cut").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return out.withColumn(text_col, F.col("_cut")).select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

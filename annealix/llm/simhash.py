@@ -28,11 +28,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, pick
+from .common import bounded_batches, key_of, materialise, pick, with_texts
 from .components import connected_components
+from .hashing import mix, shingle, word_hashes
+from .hashing import simhash as _simhash
 
 _LENGTH, _RADIUS = 23, 3
 #: Generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -109,17 +111,16 @@ def fingerprint(texts: list[bytes], words: int = 3) -> np.ndarray:
     return out.astype(np.uint64).view(np.int64)
 
 
-def fingerprints(rows: DataFrame, *, words: int = 3, keep: str | None = None) -> DataFrame:
-    """doc_id, fp (long), of rows with doc_id and text, and the long column ``keep``."""
+def fingerprints(rows: DataFrame, *, words: int = 3) -> DataFrame:
+    """doc_id, fp (long), of rows with doc_id and text."""
     bounded_batches(rows.sparkSession)
-    held = ["doc_id", *([keep] if keep else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = fingerprint([t.as_buffer().to_pybytes() for t in b.column("text")], words)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in held), pa.array(fp)], [*held, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return rows.select(*held, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*held, "fp"]))
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
@@ -141,9 +142,9 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     return homes.alias("h").join(spreads.alias("s"), (F.col("h.anchor") == F.col("s.anchor")) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
 
-def _components(rows: DataFrame, least: Column, threshold: int) -> DataFrame:
-    """fp, component, least (of the fingerprint), named (least of the component), n_links for the fingerprints of rows."""
-    distinct = materialise(rows.groupBy("fp").agg(F.min(least).alias("least")), "distinct-fingerprints")
+def _components(rows: DataFrame, threshold: int) -> DataFrame:
+    """fp, named (least doc_id of the component), n_links for the fingerprints of rows."""
+    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     pairs = materialise(links(distinct, threshold), "fingerprint-links")
     parts = connected_components(pairs)
     degree = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
@@ -155,18 +156,118 @@ def _components(rows: DataFrame, least: Column, threshold: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), n_links (fingerprints linked to it)."""
     rows = materialise(fingerprints(pick(docs, id_col, text_col), words=words), "fingerprints")
-    by_fp = _components(rows, F.col("doc_id"), threshold)
+    by_fp = _components(rows, threshold)
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("named").alias("component_id"), "n_links")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 2) -> DataFrame:
-    """The rows of docs, with all their columns, less all but one of each component.
+def _samples(texts: DataFrame, words: int, samples: int, size: int) -> DataFrame:
+    """tk, k, fp: SimHash of the whole text (k = -1) and of ``samples`` min-wise samples of ``size`` shingles."""
 
-    The row of the least id stays (of rows with that id, or with none, the first).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = mix(np.arange(1, samples + 1, dtype=np.uint64))
+        for b in batches:
+            flat, counts = word_hashes(b.column("text"))
+            out: list[list] = [[], [], []]
+            at = 0
+            for tk, n_words in zip(b.column("tk").to_pylist(), counts.tolist()):
+                h = shingle(flat[at : at + n_words], words)
+                at += n_words
+                fps = [_simhash(h) if len(h) else 0]
+                if len(h):
+                    u = np.unique(h)
+                    for salt in salts:
+                        ranked = mix(u ^ salt)
+                        fps.append(_simhash(ranked if len(u) <= size else np.partition(ranked, size - 1)[:size]))
+                out[0] += [tk] * len(fps)
+                out[1] += range(-1, len(fps) - 1)
+                out[2] += fps
+            types = [pa.int64(), pa.int32(), pa.uint64()]
+            cols = [pa.array(c, t) for c, t in zip(out, types)]
+            yield pa.RecordBatch.from_arrays([*cols[:2], cols[2].view(pa.int64())], ["tk", "k", "fp"])
+
+    return texts.select("tk", "text").mapInArrow(run, "tk long, k int, fp long")
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles; two empty sets are alike."""
+    a, b = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def similar_texts(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, threshold: int = 2, samples: int = 20, size: int = 3) -> DataFrame:
+    """a, b: verified links between texts (tk, text; equal texts have equal tk) of Jaccard ``similarity`` or more.
+
+    Texts that are 80 % alike differ in a dozen bits of their SimHash, and the
+    anchors within such a distance are too many to visit. So fingerprints are
+    also taken of min-wise samples: two texts have the same sample with
+    probability similarity ** size, and all of ``samples`` fail to agree with
+    probability (1 - similarity ** size) ** samples, under 1e-6 at the least
+    similarity. Fingerprints of whole texts are linked by anchors at
+    ``threshold`` bits, those of samples where they are equal. In a group of
+    equal fingerprints each text is compared with the first and the last of an
+    order, so a group of any size has two candidates a text. A first round takes
+    two orders, which join most of a group; a second takes another order for
+    every sample, so that a text meets many of its like, and leaves out pairs
+    that are in one component already.
+    """
+    bounded_batches(texts.sparkSession)
+    sigs = materialise(_samples(texts, words, samples, size), "samples")
+    first = None
+    for orders in (2, samples + 1):
+        place = F.struct(F.xxhash64("tk", F.col("k") % orders).alias("h"), "tk")
+        ends = materialise(sigs.groupBy("k", "fp").agg(F.min(place).alias("low"), F.max(place).alias("high")), "sample-ends")
+        shared = ends.where(F.col("low.tk") != F.col("high.tk"))
+        pairs = sigs.join(shared, ["k", "fp"]).select("tk", F.explode(F.array("low.tk", "high.tk")).alias("end"))
+        if first is None:
+            whole = ends.where("k = -1").select("fp", F.col("low.tk").alias("tk"))
+            near = links(whole.select("fp"), threshold).join(whole.toDF("a", "tk"), "a").join(whole.toDF("b", "end"), "b").select("tk", "end")
+            pairs = pairs.unionByName(near)
+        pairs = pairs.where(F.col("tk") != F.col("end")).select(F.least("tk", "end").alias("a"), F.greatest("tk", "end").alias("b")).distinct()
+        if first is not None:
+            # Texts that are in one component already need no further link.
+            parts = connected_components(first)
+            pairs = pairs.join(parts.toDF("a", "part_a"), "a", "left").join(parts.toDF("b", "part_b"), "b", "left")
+            pairs = pairs.where(F.coalesce(F.col("part_a") != F.col("part_b"), F.lit(True))).select("a", "b")
+        good = materialise(_verified(materialise(pairs, "candidate-pairs"), texts, words, similarity), "similar-pairs")
+        first = good if first is None else first.unionByName(good)
+    return first
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose texts are alike."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (fa, ca), (fb, cb) = word_hashes(b.column("text_a")), word_hashes(b.column("text_b"))
+            ea, eb = np.cumsum(ca), np.cumsum(cb)
+            good = [_alike(shingle(fa[za - na : za], words), shingle(fb[zb - nb : zb], words)) >= similarity for za, na, zb, nb in zip(ea.tolist(), ca.tolist(), eb.tolist(), cb.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("tk")).distinct()
+    one = materialise(with_texts(texts, needed).dropDuplicates(["tk"]).select("tk", "text"), "candidate-texts")
+    both = pairs.join(one.toDF("a", "text_a"), "a").join(one.toDF("b", "text_b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, less all but one of each group of near copies.
+
+    Groups are the components of ``similar_texts``; ``options`` are its own. The
+    row of the least id stays (rows without id come last; of several rows with
+    that id and text, any one).
     """
-    row = F.monotonically_increasing_id()
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row.alias("doc_id"))
-    rows = materialise(fingerprints(keyed, words=words, keep="id"), "fingerprints")
-    by_fp = _components(rows, F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("row")), threshold)
-    stay = by_fp.select(F.col("named.row").alias("_row")).distinct()
-    return docs.withColumn("_row", row).join(stay, "_row", "left_semi").select(*docs.columns)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    tk, number = key_of(text), F.col(id_col).cast("long")
+    rows = docs.select(number.isNull().alias("none"), number.alias("id"), tk.alias("tk"))
+    places = rows.groupBy("tk", "none", "id").agg(F.count("*").alias("n"))
+    least = materialise(places.groupBy("tk").agg(F.min(F.struct("none", "id", "tk", "n")).alias("place")), "distinct-texts")
+    pairs = similar_texts(docs.select(tk.alias("tk"), text.alias("text")), **options)
+    parts = connected_components(pairs).withColumnRenamed("node", "tk")
+    grouped = least.join(parts, "tk", "left").groupBy(F.coalesce("component", "tk").alias("component")).agg(F.min("place").alias("place"))
+    stay = materialise(grouped.select(F.col("place.tk").alias("_stay_tk"), F.col("place.id").alias("_stay_id"), F.col("place.n").alias("_n")), "stay")
+    keyed = docs.withColumns({"_tk": tk, "_id": number})
+    here = (F.col("_tk") == F.col("_stay_tk")) & F.col("_id").eqNullSafe(F.col("_stay_id"))
+    once = keyed.join(stay.where("_n = 1"), here, "left_semi")
+    more = keyed.join(stay.where("_n > 1"), here, "left_semi").dropDuplicates(["_tk"])
+    return once.unionByName(more).select(*docs.columns)

@@ -69,3 +69,42 @@ def test_chain_and_empty(spark):
 def test_null_ids(spark):
     rows = simhash.near_duplicates(frame(spark, ["same text here", "same text here", None], [None, 7, None])).collect()
     assert sorted((r.doc_id is None, r.component_id is None) for r in rows) == [(False, False), (True, False), (True, True)]
+
+
+def test_deduplicate_equals_brute_force(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    texts = ["", None, "one two", "one two", "one two three"]
+    for _ in range(15):
+        base = [r.choice(words) for _ in range(r.randint(60, 200))]
+        texts.append(" ".join(base))
+        for edits in (1, 1, 2, 3, 8):
+            new = list(base)
+            for _ in range(edits):
+                new[r.randrange(len(new))] = r.choice(words)
+            texts.append(" ".join(new))
+    texts += [texts[9]] * 3
+    r.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        s = min(5, len(w))
+        sets.append({tuple(w[i : i + s]) for i in range(len(w) - s + 1)} if s else set())
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.8 if a | b else True
+    comp = list(range(len(texts)))
+    for _ in comp:
+        new = [min(comp[j] for j in range(len(texts)) if alike(sets[i], sets[j])) for i in range(len(texts))]
+        if new == comp:
+            break
+        comp = new
+    df = frame(spark, texts).repartition(3)
+    got = simhash.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted(x.doc_id for x in got.collect()) == sorted(set(comp))
+    assert simhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_deduplicate_null_and_repeated_ids(spark):
+    t = "a b c d e f g h i j k l m n o p"
+    df = frame(spark, [t, t, t + " q", "other words stay here as they are"], [None, 4, 4, None])
+    assert sorted(map(str, ((x.doc_id, x.text) for x in simhash.deduplicate(df).collect()))) == sorted(map(str, [(4, t), (None, "other words stay here as they are")]))
