@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import demo
 from .functions import bases, duplex
-from .operators import assays, joins, masking, results, seeds
+from .operators import assays, bindings, joins, masking, results, seeds
+from .plans import search
+from .plans.config import SearchConfig
 
 # SQL shared by the queries: targets t, assays a, oligos o, perfect sites b, amplicons m.
 _RC = lambda s: f"reverse(translate({s}, '{bases.COMPLEMENT_FROM}', '{bases.COMPLEMENT_TO}'))"
@@ -330,6 +332,48 @@ def _(spark, d):
     return a.select("assay_id", "target_id", "start", "stop", masking.mask_primers(s, F.lit(6), F.lit(6)).alias("masked"), masking.replace_ends(s, F.lit("NNNNNN"), F.lit("")).alias("replaced"))
 
 
+# The binding kernel has no SQL; these are checked by golden values and plain versions in the tests.
+
+
+@register("bind_thermo", None)
+def _(spark, d):
+    """Bindings of 18-base primers, cut from every 40th target with one base changed, in all targets."""
+    t = demo.targets(spark, d)
+    cut = t.where("target_id % 40 = 1").select(F.concat(F.substring("seq", 65, 9), F.translate(F.substring("seq", 74, 1), "ACGT", "CGTA"), F.substring("seq", 75, 8)).alias("oligo")).distinct()
+    win = seeds.windows(seeds.diagonals(seeds.seed_hits(cut, t, 7)), t).withColumn("ct", F.lit(duplex.DEFAULT_PRIMER_CT))
+    found = bindings.within(bindings.bind(win), tm=(20.0, 9999.0))
+    return bindings.unique(found, "oligo", "target_id").select("oligo", "strand", "target_id", "loc_5", "loc_3", *[F.round(c, 6).alias(c) for c in ("dh", "ds", "dg", "tm")], "anchor_5", "anchor_3", "num_mm", "num_gap")
+
+
+@register("self_structure", None)
+def _(spark, d):
+    o = demo.targets(spark, d).where("target_id % 20 = 1").select(F.substring("seq", 1, 24).alias("oligo"))
+    return bindings.self_structure(o, duplex.DEFAULT_PRIMER_CT)
+
+
+@register("dimer_tm", None)
+def _(spark, d):
+    p = demo.targets(spark, d).where("target_id % 20 = 1").select(F.substring("seq", 1, 20).alias("forward"), bases.revcomp(F.substring("seq", 70, 20)).alias("reverse"))
+    return bindings.heterodimers(p, duplex.DEFAULT_PRIMER_CT)
+
+
+def _searched(spark, d, arms=False, **options):
+    a = demo.assays(spark, d)
+    b = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("name"), F.translate(F.md5("p_brand"), demo.HEX, demo.DNA).alias("b")).distinct()
+    long = a.select("assay_id", "name").join(b, "name").select("assay_id", "name", F.substring("b", 1, 12).alias("forward"), (F.substring("b", 13, 12) if arms else bases.revcomp(F.substring("b", 21, 12))).alias("reverse"), F.when(F.lit(not arms), F.substring("b", 13, 8)).alias("probe"))
+    return search.search(long, demo.targets(spark, d), SearchConfig(max_len=80, **options))
+
+
+@register("search_pcr", None)
+def _(spark, d):
+    return _searched(spark, d, min_primer_tm=20.0)
+
+
+@register("search_padlock", None)
+def _(spark, d):
+    return _searched(spark, d, arms=True, assay="PADLOCK", min_probe_tm=20.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 
