@@ -183,17 +183,20 @@ def _strings(units: DataFrame, texts: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(texts: DataFrame, *, length: int = 400, seed: int = 200, piece_bytes: int = _PIECE) -> DataFrame:
     """tk, ranges: array<struct<lo, hi>>, first and last starts of repeated strings, of texts that have any."""
     units = materialise(parse(texts, length, seed, piece_bytes), "phrases")
-    shared = units.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    live = units.join(shared.select("seed"), "seed", "left_semi")
-    entries = live.groupBy("seed", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("tk", "lo")).alias("one"))
+    # Written first, so that the join reads both sides from a shuffle and AQE can split a frequent trigger.
+    shared = materialise(units.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("seed"), "shared-triggers")
+    live = units.join(shared, "seed", "left_semi")
+    # Entries are named by a hash of both, so that a frequent trigger's rows are combined before they meet.
+    live = live.withColumn("entry", F.xxhash64("seed", "ctx"))
+    entries = live.groupBy("entry", "ctx").agg(F.first("seed").alias("seed"), F.count("*").alias("n"), F.min(F.struct("tk", "lo")).alias("one"))
     ends = entries.groupBy("seed").agg(F.min("n").alias("fewest"))
-    known = entries.join(ends, "seed").select("seed", "ctx", "n", "one", (F.col("fewest") == 1).alias("open"))
-    status = materialise(live.join(known, ["seed", "ctx"]).select("tk", "lo", "hi", "seed", (F.col("n") == 1).alias("once"), "open", (F.struct("tk", "lo") == F.col("one")).alias("first")), "phrase-status")
+    known = entries.join(ends, "seed").select("entry", "ctx", "n", "one", (F.col("fewest") == 1).alias("open"))
+    status = materialise(live.join(known, ["entry", "ctx"]).select("tk", "lo", "hi", "seed", (F.col("n") == 1).alias("once"), "open", (F.struct("tk", "lo") == F.col("one")).alias("first")), "phrase-status")
     whole = status.where(~F.col("once")).select("tk", "lo", "hi")
     compared = status.where(F.col("open") & (F.col("once") | F.col("first"))).select("tk", "lo", "hi", "seed", "once").distinct()
     strings = materialise(_strings(compared, texts, length), "strings")
-    twice = strings.groupBy("hash", "tag").agg(F.sum(F.when(F.col("once"), 1).otherwise(2)).alias("n")).where(F.col("n") > 1)
-    ends = strings.where("once").join(twice.select("hash", "tag"), ["hash", "tag"], "left_semi").select("tk", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    twice = materialise(strings.groupBy("hash", "tag").agg(F.sum(F.when(F.col("once"), 1).otherwise(2)).alias("n")).where(F.col("n") > 1).select("hash", "tag"), "repeated-strings")
+    ends = strings.where("once").join(twice, ["hash", "tag"], "left_semi").select("tk", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return whole.unionByName(ends).distinct().groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
 
 
