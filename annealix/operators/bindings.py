@@ -19,12 +19,13 @@ def _arrow(kind: str) -> pa.DataType:
     return {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "string": pa.string()}[kind]
 
 
-def bind(windows: DataFrame, cond: Conditions = Conditions()) -> DataFrame:
+def bind(windows: DataFrame, cond: Conditions = Conditions(), *, iterate: bool = False) -> DataFrame:
     """Rows with oligo, strand, start, window and ct, joined by the energies and place of their best binding.
 
     Rows that don't bind are dropped. Within a batch equal (oligo, window, ct)
     are computed once. loc_5 and loc_3 are the least and greatest target
-    coordinate, unbound oligo bases included.
+    coordinate, unbound oligo bases included; bound_5 and bound_3 leave them out.
+    ``iterate``: align at each binding's own melting temperature.
     """
     held = windows.columns
     read = F.when(F.col("strand") == "-", revcomp(F.col("window"))).otherwise(F.col("window"))
@@ -33,7 +34,10 @@ def bind(windows: DataFrame, cond: Conditions = Conditions()) -> DataFrame:
         for b in batches:
             keys = list(zip(b.column("oligo").to_pylist(), b.column("_read").to_pylist(), b.column("ct").to_pylist()))
             unique = list(dict.fromkeys(keys))
-            found = dict(zip(unique, kernel.bind_many([k[0] for k in unique], [k[1] for k in unique], [k[2] for k in unique], cond)))
+            if iterate:
+                found = {k: kernel.iterate(*k, cond) for k in unique}
+            else:
+                found = dict(zip(unique, kernel.bind_many([k[0] for k in unique], [k[1] for k in unique], [k[2] for k in unique], cond)))
             rows = {}
             for (oligo, target, _), x in ((k, found[k]) for k in unique):
                 if x is not None:
@@ -51,7 +55,10 @@ def bind(windows: DataFrame, cond: Conditions = Conditions()) -> DataFrame:
     minus = F.col("strand") == "-"
     low = F.when(minus, F.col("start") + F.col("j5") - F.col("i5")).otherwise(F.col("start") + (w - 1 - F.col("j3")) - (n - 1 - F.col("i3")))
     high = F.when(minus, F.col("start") + F.col("j3") + (n - 1 - F.col("i3"))).otherwise(F.col("start") + (w - 1 - F.col("j5")) + F.col("i5"))
-    return out.withColumn("loc_5", low.cast("long")).withColumn("loc_3", high.cast("long")).drop("i5", "j5", "i3", "j3")
+    first = F.when(minus, F.col("start") + F.col("j5")).otherwise(F.col("start") + (w - 1 - F.col("j3")))
+    last = F.when(minus, F.col("start") + F.col("j3")).otherwise(F.col("start") + (w - 1 - F.col("j5")))
+    places = {"loc_5": low, "loc_3": high, "bound_5": first, "bound_3": last}
+    return out.withColumns({c: v.cast("long") for c, v in places.items()}).drop("i5", "j5", "i3", "j3")
 
 
 def within(b: DataFrame, *, tm: tuple[float, float] = (0.0, 9999.0), dg: tuple[float, float] = (-9999.0, 0.0), clamp_5: int = 0, clamp_3: int = 0, max_mismatch: int = 999, max_gap: int = 999, max_degen_run: int = 3) -> DataFrame:

@@ -45,6 +45,10 @@ class SearchConfig:
     multiplex: bool = False
     best_match: bool = False
     ignore_probe: bool = False
+    mask_primers: bool = False
+    mask_probe: bool = False
+    replace_primers: bool = False
+    self_structure: bool = False
 
     def validate(self) -> SearchConfig:
         """Self, or ValueError naming the first option out of range."""

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bases import gc_fraction, primer_report
+from ..functions.bases import gc_fraction, primer_report, revcomp
 from ..functions.binding import Conditions
 from ..operators import assays as qa
 from ..operators import bindings as bi
-from ..operators import joins, results, seeds
+from ..operators import joins, masking, results, seeds
 from .config import SearchConfig
 
 LONGEST_OLIGO = 1024
@@ -55,9 +55,9 @@ def find_bindings(variants: DataFrame, targets: DataFrame, cfg: SearchConfig) ->
     if cfg.target_strand != "both":
         win = win.where(F.col("strand") == ("+" if cfg.target_strand == "plus" else "-"))
     used = oligos.select("oligo", "ct").distinct()
-    bound = bi.bind(win.join(used, "oligo").select("oligo", "strand", "target_id", "start", "window", "ct"), conditions(cfg))
+    bound = bi.bind(win.join(used, "oligo").select("oligo", "strand", "target_id", "start", "window", "ct"), conditions(cfg), iterate=cfg.dinkelbach)
     placed = bound.join(rows.drop("chunk"), "target_id")
-    placed = placed.withColumns({"loc_5": F.col("loc_5") + F.col("offset"), "loc_3": F.col("loc_3") + F.col("offset")})
+    placed = placed.withColumns({c: F.col(c) + F.col("offset") for c in ("loc_5", "loc_3", "bound_5", "bound_3")})
     mine = (F.col("loc_5").between(F.col("own_start"), F.col("own_stop"))) | (F.col("is_first") & (F.col("loc_5") < F.col("own_start")))
     placed = placed.where(mine).withColumn("target_id", F.col("target_id.target_id")).drop("offset", "own_start", "own_stop", "is_first", "is_last", "start", "window")
     placed = bi.unique(placed, "oligo", "ct", "target_id")
@@ -75,7 +75,7 @@ def find_bindings(variants: DataFrame, targets: DataFrame, cfg: SearchConfig) ->
     return bi.within(out.where(~probe), **primers, **common).unionByName(bi.within(out.where(probe), **probes, **common))
 
 
-_PER_SITE = ("oligo", "tm", "dh", "ds", "dg", "num_mm", "num_gap", "anchor_5", "anchor_3", "alignment")
+_PER_SITE = ("oligo", "tm", "dh", "ds", "dg", "num_mm", "num_gap", "anchor_5", "anchor_3", "bound_5", "bound_3", "alignment")
 
 
 def search(assays: DataFrame, targets: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
@@ -110,9 +110,50 @@ def search(assays: DataFrame, targets: DataFrame, cfg: SearchConfig = SearchConf
     probed = variants.where(F.col("probe").isNotNull()).select("degen_id")
     plain = amps.join(probed, "degen_id", "left_anti")
     triple = joins.with_probes(amps.join(probed, "degen_id", "left_semi"), sites, cfg.max_len)
-    pairs = finish(plain.unionByName(triple, allowMissingColumns=True), F.col("primer_strand") == "+")
+    pairs = _by_role(_masked(finish(plain.unionByName(triple, allowMissingColumns=True), F.col("primer_strand") == "+"), cfg))
     out = _scored(pairs.unionByName(single, allowMissingColumns=True))
-    return results.best_match(out) if cfg.best_match else out
+    out = results.best_match(out) if cfg.best_match else out
+    return with_self_structure(out, cfg) if cfg.self_structure else out
+
+
+def _masked(rows: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Bound primers and probes in lower case, or primers in place of what they bind, as the options say."""
+    plus, s = F.col("primer_strand") == "+", F.col("sequence")
+
+    def span(x: str) -> Column:
+        lo, hi = F.col(f"{x}_bound_5"), F.col(f"{x}_bound_3")
+        return F.struct(F.when(plus, lo - F.col("start")).otherwise(F.col("stop") - hi).alias("start"), F.when(plus, hi - F.col("start")).otherwise(F.col("stop") - lo).alias("stop"))
+
+    if cfg.replace_primers:
+        left, right = (F.when(plus, F.col(a)).otherwise(F.col(b)) for a, b in (("f_oligo", "r_oligo"), ("r_oligo", "f_oligo")))
+        s = masking.replace_ends(s, left, revcomp(right))
+    wanted = [span(x) for x, on in (("f", cfg.mask_primers), ("r", cfg.mask_primers), ("p", cfg.mask_probe and "p_bound_5" in rows.columns)) if on]
+    if wanted:
+        s = masking.mask_ranges(s, F.array(*wanted))
+    return rows.withColumn("sequence", s)
+
+
+def _by_role(rows: DataFrame) -> DataFrame:
+    """Columns f_ hold the forward and r_ the reverse primer; where the reverse primer binds first they change places."""
+    swap = (F.col("f_role") == "R") & (F.col("r_role") == "F")
+    names = [c[2:] for c in rows.columns if c.startswith("f_") and f"r_{c[2:]}" in rows.columns]
+    moved = {}
+    for c in names:
+        moved[f"f_{c}"] = F.when(swap, F.col(f"r_{c}")).otherwise(F.col(f"f_{c}"))
+        moved[f"r_{c}"] = F.when(swap, F.col(f"f_{c}")).otherwise(F.col(f"r_{c}"))
+    return rows.withColumns(moved)
+
+
+def with_self_structure(rows: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Adds hairpin and homodimer temperatures of every oligo and the primers' heterodimer; each oligo is computed once."""
+    for x, ct in (("f", cfg.primer_ct * cfg.asymmetric_ratio), ("r", cfg.primer_ct), ("p", cfg.probe_ct)):
+        if f"{x}_oligo" in rows.columns:
+            own = bi.self_structure(rows.select(F.col(f"{x}_oligo").alias("oligo")), ct, conditions(cfg)).toDF(f"{x}_oligo", f"{x}_hairpin_tm", f"{x}_homodimer_tm")
+            rows = rows.join(own, f"{x}_oligo", "left")
+    if "f_oligo" in rows.columns:
+        pairs = rows.select(F.col("f_oligo").alias("forward"), F.col("r_oligo").alias("reverse"))
+        rows = rows.join(bi.heterodimers(pairs, cfg.primer_ct, conditions(cfg)).toDF("f_oligo", "r_oligo", "dimer_tm"), ["f_oligo", "r_oligo"], "left")
+    return rows
 
 
 def _scored(rows: DataFrame) -> DataFrame:

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..operators.results import network_edges, network_nodes
 
 
-def fasta_lines(matches: DataFrame, *, with_assay: bool = False, hide_sequence: bool = False) -> DataFrame:
-    """value: '>defline[ assay]' and the matched bases."""
+def fasta_text(*, with_assay: bool = False, hide_sequence: bool = False) -> Column:
+    """'>defline[ assay]' and the matched bases."""
     head = F.concat(F.lit(">"), "defline", *([F.lit(" "), F.col("name")] if with_assay else []))
-    return matches.select((head if hide_sequence else F.concat_ws("\n", head, "sequence")).alias("value"))
+    return head if hide_sequence else F.concat_ws("\n", head, "sequence")
+
+
+def fasta_lines(matches: DataFrame, **options) -> DataFrame:
+    return matches.select(fasta_text(**options).alias("value"))
 
 
 def _line(label: str, value: Column) -> Column:
@@ -19,17 +23,20 @@ def _line(label: str, value: Column) -> Column:
 
 
 def report_lines(matches: DataFrame, *, prefix: str = "") -> DataFrame:
-    """value: one block of lines per match, in a fixed order of fields; ``prefix`` begins alignment lines."""
-    have = set(matches.columns)
+    return matches.select(report_text(set(matches.columns), prefix=prefix).alias("value"))
+
+
+def report_text(have: set[str], *, prefix: str = "") -> Column:
+    """A block of lines per match, in a fixed order of the fields it has; ``prefix`` begins alignment lines."""
     parts = [_line("name", F.col("name")), _line("target", F.col("defline"))]
-    labels = (("oligo", "oligo"), ("tm", "tm"), ("dg", "delta G"), ("dh", "delta H"), ("ds", "delta S"), ("num_mm", "mismatches"), ("num_gap", "gaps"), ("anchor_5", "5' clamp"), ("anchor_3", "3' clamp"), ("gc", "GC"), ("rules", "heuristics"))
+    labels = (("oligo", "oligo"), ("tm", "tm"), ("dg", "delta G"), ("dh", "delta H"), ("ds", "delta S"), ("num_mm", "mismatches"), ("num_gap", "gaps"), ("anchor_5", "5' clamp"), ("anchor_3", "3' clamp"), ("hairpin_tm", "hairpin tm"), ("homodimer_tm", "homodimer tm"), ("gc", "GC"), ("rules", "heuristics"))
     for field, label in labels:
         for x, role in (("f", "forward"), ("r", "reverse"), ("p", "probe")):
             if f"{x}_{field}" in have:
                 value = F.col(f"{x}_{field}")
                 parts.append(_line(f"{role} {label}", F.round(100 * value, 4) if field == "gc" else value))
     parts += [_line("range", F.concat_ws(" .. ", "start", "stop")), _line("length", F.col("stop") - F.col("start") + 1)]
-    for c, label in (("primer_strand", "forward primer strand"), ("p_strand", "probe strand"), ("gap", "gap")):
+    for c, label in (("primer_strand", "forward primer strand"), ("p_strand", "probe strand"), ("gap", "gap"), ("dimer_tm", "heterodimer tm")):
         if c in have:
             parts.append(_line(label, F.col(c)))
     for x in "frp":
@@ -37,7 +44,7 @@ def report_lines(matches: DataFrame, *, prefix: str = "") -> DataFrame:
             a = F.col(f"{x}_alignment")
             parts.append(F.when(a.isNotNull(), F.concat(F.lit(prefix), F.replace(a, F.lit("\n"), F.lit("\n" + prefix)))))
     parts.append(_line("sequence", F.col("sequence")))
-    return matches.select(F.concat_ws("\n", *parts, F.lit("")).alias("value"))
+    return F.concat_ws("\n", *parts, F.lit(""))
 
 
 def sif_lines(matches: DataFrame) -> DataFrame:

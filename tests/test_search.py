@@ -308,6 +308,45 @@ def test_arriving_files(spark, tmp_path):
     assert [x.defline for x in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a"]
 
 
+def test_masked_and_replaced_sites(spark):
+    a, t = assay(spark, ("gm", F_OLIGO, R_OLIGO, P_OLIGO)), target(spark, "G" + AMPLICON[1:], rc(AMPLICON))
+    n, m = len(F_OLIGO), len(R_OLIGO)
+    got = {x.target_id: x.sequence for x in search(a, t, SearchConfig(min_primer_tm=45, min_probe_tm=50, mask_primers=True, mask_probe=True)).collect()}
+    inner = AMPLICON[n:22] + P_OLIGO.lower() + AMPLICON[45:-m]
+    assert got[1] == F_OLIGO.lower() + inner + rc(R_OLIGO).lower()
+    assert got[0] == "G" + F_OLIGO[1:].lower() + inner + rc(R_OLIGO).lower()
+    got = {x.target_id: x.sequence for x in search(a, t, SearchConfig(min_primer_tm=45, min_probe_tm=50, replace_primers=True)).collect()}
+    assert got == {0: AMPLICON, 1: AMPLICON}
+
+
+def test_roles_self_structure_and_iteration(spark):
+    a, t = assay(spark, ("gm", F_OLIGO, R_OLIGO, P_OLIGO)), target(spark, AMPLICON, rc(AMPLICON))
+    rows = search(a, t, SearchConfig(min_primer_tm=50, min_probe_tm=50, self_structure=True)).collect()
+    assert {(x.f_oligo, x.r_oligo) for x in rows} == {(F_OLIGO, R_OLIGO)}
+    assert all(x.r_hairpin_tm > 40 and x.dimer_tm >= 0 and x.p_homodimer_tm >= 0 for x in rows)
+    again = search(a, t, SearchConfig(min_primer_tm=50, min_probe_tm=50, dinkelbach=True)).collect()
+    assert {(x.start, x.stop) for x in again} == {(0, 146)}
+
+
+def test_command_line(spark, tmp_path):
+    from annealix.__main__ import main
+
+    (tmp_path / "a.txt").write_text(f"gm {F_OLIGO} {R_OLIGO} {P_OLIGO}\nnone ACGTTGCAACGGTTA TTGACCATGACCAGT\n")
+    (tmp_path / "t.fa").write_text(f">one\n{AMPLICON}\n>two\nACGTACGTACGT\n")
+    read = lambda k: sorted(x.value for x in spark.read.text(f"{tmp_path}/{k}").collect())
+    base = ["-i", f"{tmp_path}/a.txt", "-d", f"{tmp_path}/t.fa", "-e", "50", "-E", "50"]
+    main([*base, "-o", f"{tmp_path}/0", "-S", "T", "--dump-query", "T"])
+    assert "reverse hairpin tm" in " ".join(read("0/text")) and spark.read.parquet(f"{tmp_path}/0/summary").count() == 2
+    main([*base, "-o", f"{tmp_path}/1", "-m", "1", "-L", "T", "-n", "T"])
+    assert ">one gm" in read("1/text")
+    main([*base, "-o", f"{tmp_path}/2", "-m", "2"])
+    assert read("2/sif") == ["gm binds one"]
+    main([*base, "-o", f"{tmp_path}/3", "-m", "3"])
+    assert read("3/targets") == ["two"]
+    main([*base, "-o", f"{tmp_path}/4", "-m", "4"])
+    assert read("4/assays_without_match") == ["none"]
+
+
 def test_no_rows(spark):
     a, t = assay(spark, ("gm", F_OLIGO, R_OLIGO, P_OLIGO)), target(spark, AMPLICON)
     assert search(a, t.limit(0)).count() == 0
