@@ -78,7 +78,7 @@ def key_of(text: Column) -> Column:
 
 
 def with_texts(texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` (one per tk) beside their text.
+    """Rows of ``keyed`` (one per tk) beside their text, once each.
 
     A bitmap of 2**27 bits (at most 16 MB) of the keys keeps most other texts
     out of the shuffle; the join decides.
@@ -89,4 +89,5 @@ def with_texts(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     marked = texts.withColumn("bucket", F.bitmap_bucket_number(bit(F.col("tk")))).join(F.broadcast(maps), "bucket")
     held = marked.where(F.pmod(F.floor(byte / F.pow(F.lit(2.0), at % 8)), F.lit(2)) == 1).select("tk", "text")
-    return held.join(keyed, "tk")
+    # Copies are combined before the shuffle, so that a text with many meets as one row a task.
+    return held.groupBy("tk").agg(F.first("text").alias("text")).join(keyed, "tk")

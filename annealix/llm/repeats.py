@@ -175,8 +175,6 @@ def _strings(units: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                     )
 
     rows = with_texts(texts, per_text).select("tk", "text", "units")
-    # Copies of a text would give the strings of a phrase once each; one copy is enough.
-    rows = rows.groupBy("tk").agg(F.first("text").alias("text"), F.first("units").alias("units"))
     return rows.mapInArrow(run, "tk long, at int, hash long, tag int, once boolean")
 
 
@@ -246,7 +244,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = texts.select("doc_id", "tk", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("own"), *([F.col("text").cast("binary").alias("own_text")] if keep_text else []))
     lengths = long.select("tk", F.octet_length("text").alias("n_bytes")).distinct()
     partial = spans.join(lengths, "tk").where(F.col("n_removed") < F.col("n_bytes")).select("tk", "starts", "stops")
-    cuts = with_texts(long, partial).dropDuplicates(["tk"]).select("tk", "text", "starts", "stops").mapInArrow(cut, "tk long, sha string" + kept_type)
+    cuts = with_texts(long, partial).select("tk", "text", "starts", "stops").mapInArrow(cut, "tk long, sha string" + kept_type)
     found = spans.select("tk", "n_removed", F.size("starts").cast("long").alias("n_spans")).join(cuts, "tk", "left")
     out = rows.join(found, "tk", "left")
     zero = F.lit(0).cast("long")

@@ -245,7 +245,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("tk")).distinct()
-    one = materialise(with_texts(texts, needed).dropDuplicates(["tk"]).select("tk", "text"), "candidate-texts")
+    one = materialise(with_texts(texts, needed).select("tk", "text"), "candidate-texts")
     both = pairs.join(one.toDF("a", "text_a"), "a").join(one.toDF("b", "text_b"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
