@@ -16,26 +16,38 @@ FLANK = 4
 
 
 def fragments(targets: DataFrame, max_len: int, overlap: int = 0) -> DataFrame:
-    """Chunks of near equal size up to ``max_len``. Each owns [start, stop] and carries ``overlap`` bases on both sides."""
-    n = F.length("seq")
+    """Chunks of near equal size up to ``max_len``. Each owns [start, stop] and carries ``overlap`` bases on both sides.
+
+    A pattern cuts the sequence in one pass; taking substrings by position would
+    read it from the start for every chunk.
+    """
+    n = F.length("seq").cast("long")
     pieces = F.greatest(F.ceil(n / max_len).cast("long"), F.lit(1).cast("long"))
-    step = F.ceil(n / F.col("pieces")).cast("long")
-    start = F.col("chunk_id") * F.col("step")
-    out = targets.withColumn("pieces", pieces).withColumn("step", step)
-    out = out.withColumn("chunk_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    out = out.withColumn("start", start).where((F.col("start") < n) | (F.col("chunk_id") == 0)).withColumn("stop", F.least(F.col("start") + F.col("step"), n.cast("long")) - 1)
-    offset = F.greatest(F.col("start") - overlap, F.lit(0).cast("long"))
-    text = F.substring(F.col("seq"), (offset + 1).cast("int"), (F.col("stop") + 1 + overlap - offset).cast("int"))
-    return out.select("target_id", "chunk_id", "start", "stop", offset.alias("offset"), (F.col("chunk_id") == 0).alias("is_first"), (F.col("stop") == n - 1).alias("is_last"), text.alias("chunk"))
+    out = targets.withColumn("step", F.greatest(F.ceil(n / pieces).cast("long"), F.lit(1).cast("long")))
+    cut = F.regexp_extract_all("seq", F.concat(F.lit("(?s).{1,"), F.col("step"), F.lit("}")), F.lit(0))
+    out = out.withColumn("cut", F.when(n > 0, cut).otherwise(F.array(F.lit(""))))
+    beside = F.ceil(F.lit(overlap) / F.col("step")).cast("int")
+
+    def chunk(own: Column, i: Column) -> Column:
+        first = F.greatest(i - beside, F.lit(0))
+        left = F.array_join(F.slice("cut", first + 1, i - first), "")
+        right = F.array_join(F.slice("cut", i + 2, beside), "")
+        return F.struct(F.right(left, F.lit(overlap)).alias("left"), own.alias("own"), F.left(right, F.lit(overlap)).alias("right"))
+
+    rows = out.select("target_id", n.alias("n"), "step", F.posexplode(F.transform("cut", chunk)).alias("chunk_id", "c"))
+    start = F.col("chunk_id").cast("long") * F.col("step")
+    stop = start + F.length("c.own") - 1
+    return rows.select(
+        "target_id", F.col("chunk_id").cast("long").alias("chunk_id"), start.alias("start"), stop.alias("stop"), (start - F.length("c.left")).alias("offset"),
+        (F.col("chunk_id") == 0).alias("is_first"), (stop == F.col("n") - 1).alias("is_last"), F.concat("c.left", "c.own", "c.right").alias("chunk"),
+    )
 
 
 def kmers(rows: DataFrame, text: Column, k: int, pos: str, *keys: str) -> DataFrame:
-    """Keys, position and k-mer of every run of k plain bases."""
-    spots = F.filter(
-        F.transform(F.sequence(F.lit(0), F.length(text) - k), lambda i: F.struct(i.cast("long").alias(pos), F.substring(text, i + 1, F.lit(k)).alias("kmer"))),
-        lambda x: x["kmer"].rlike("^[ACGT]+$"),
-    )
-    return rows.where(F.length(text) >= k).select(*keys, F.explode(spots).alias("x")).select(*keys, "x.*")
+    """Keys, position and k-mer of every run of k plain bases, found in one pass over the text."""
+    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    out = rows.where(F.length(text) >= k).select(*keys, F.posexplode(every).alias(pos, "kmer"))
+    return out.where(F.col("kmer").rlike("^[ACGT]+$")).select(*keys, F.col(pos).cast("long").alias(pos), "kmer")
 
 
 def seed_hits(oligos: DataFrame, targets: DataFrame, k: int = 7, seq: str = "seq") -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators import joins, masking, results, seeds
 from .config import SearchConfig
 
 LONGEST_OLIGO = 1024
+CHUNK = 20_000
 
 
 def conditions(cfg: SearchConfig) -> Conditions:
@@ -48,7 +49,8 @@ def find_bindings(variants: DataFrame, targets: DataFrame, cfg: SearchConfig) ->
     longest = oligos.agg(F.max(F.length("oligo"))).first()[0] or 0
     if longest > LONGEST_OLIGO:
         raise ValueError(f"oligos may have up to {LONGEST_OLIGO} bases")
-    chunks = seeds.fragments(targets, cfg.max_target_len, longest + 2 * seeds.FLANK + 8)
+    # Results don't depend on the cut, so chunks are kept small: windows are taken from them by position.
+    chunks = seeds.fragments(targets, min(cfg.max_target_len, CHUNK), longest + 2 * seeds.FLANK + 8)
     rows = chunks.select(F.struct("target_id", "chunk_id").alias("target_id"), "chunk", "offset", F.col("start").alias("own_start"), F.col("stop").alias("own_stop"), "is_first", "is_last")
     hits = seeds.diagonals(seeds.seed_hits(oligos, rows, cfg.word_length, "chunk"))
     win = seeds.windows(hits, rows, "chunk")
