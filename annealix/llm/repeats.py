@@ -245,7 +245,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     lengths = long.select("tk", F.octet_length("text").alias("n_bytes")).distinct()
     partial = spans.join(lengths, "tk").where(F.col("n_removed") < F.col("n_bytes")).select("tk", "starts", "stops")
     cuts = with_texts(long, partial).select("tk", "text", "starts", "stops").mapInArrow(cut, "tk long, sha string" + kept_type)
-    found = spans.select("tk", "n_removed", F.size("starts").cast("long").alias("n_spans")).join(cuts, "tk", "left")
+    # Written first, so that AQE can split a text with many copies in the join below.
+    found = materialise(spans.select("tk", "n_removed", F.size("starts").cast("long").alias("n_spans")).join(cuts, "tk", "left"), "cut-texts")
     out = rows.join(found, "tk", "left")
     zero = F.lit(0).cast("long")
     sha = F.when(F.col("n_removed").isNull(), F.col("own")).otherwise(F.coalesce("sha", F.lit(none)))
