@@ -43,7 +43,7 @@ def test_piece_encoder_equals_library():
     tok = Tokenizer.from_file(JSON)
     tok.encode_special_tokens = True
     enc = arrow_tokens.PieceEncoder(JSON, "<u2")
-    texts = [t or "" for t in ODD] * 2 + ["a ", " a", "a\n b", "a \nb", "  ", "x Ġy  Ġ", "it 's 'll"]
+    texts = [t or "" for t in ODD] * 2 + ["a ", " a", "a\n b", "a \nb", "  ", "x Ġy  Ġ", "it 's 'll", "end end. end, éé. x1. 2. a.. b.\nc .d. e; ñ! q? 's. 漢字, ²."]
     for some in (texts, texts[5:], [texts[-1]]):
         ids, counts = enc.encode(pa.array(some), 2)
         for t, got in zip(some, np.split(ids, np.cumsum(counts)[:-1])):
