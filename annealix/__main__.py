@@ -63,6 +63,8 @@ def main(argv: list[str] | None = None) -> None:
     cfg = SearchConfig(**given, best_match=args.best_match, self_structure=args.m == 0).validate()
     spark = SparkSession.builder.appName("annealix").getOrCreate()
     assays = readers.read_assays(spark, args.i, ignore_probe=cfg.ignore_probe, force_probe=cfg.assay == "PROBE")
+    there = assays.agg(*[F.coalesce(F.bool_or(F.col(c).isNotNull()), F.lit(False)) for c in ("forward", "probe")]).first()
+    cfg = cfg.with_thresholds(*there)
     targets = readers.read_targets(spark, args.d)
     variants = expand_assays(assays, cfg)
     if args.dump_query:

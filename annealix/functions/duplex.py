@@ -23,6 +23,11 @@ ZERO_C, BODY = 273.15, 310.15
 DEFAULT_SALT, DEFAULT_PRIMER_CT, DEFAULT_PROBE_CT = 0.05, 9e-7, 2.5e-7
 
 
+def effective_concentration(a: Column, b: Column) -> Column:
+    """Concentration that counts for two strands: the greater less half the lesser."""
+    return F.greatest(a, b) - F.least(a, b) / 2
+
+
 def step_sums(s: Column) -> tuple[Column, Column]:
     """Enthalpy and free energy of a perfect duplex, as integers of hundredths."""
     ends = F.length(F.regexp_replace(F.concat(F.substring(s, 1, 1), F.right(s, F.lit(1))), "[^AT]", ""))

@@ -14,6 +14,12 @@ def best_match(matches: DataFrame) -> DataFrame:
     return matches.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def best_probe(triples: DataFrame) -> DataFrame:
+    """Of the probes of one amplicon the one of the highest Tm."""
+    order = Window.partitionBy("assay_id", "degen_id", "target_id", "start", "stop").orderBy(F.desc("p_tm"), "p_loc_5", "p_loc_3")
+    return triples.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
 def rank_results(matches: DataFrame) -> DataFrame:
     """Adds the place in each assay's report: Tm values falling (not under zero), then target."""
     floor = lambda c: F.greatest(F.col(c), F.lit(0.0)).desc()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 ASSAY_KINDS = ("PCR", "PROBE", "PADLOCK", "MIPS", "AFFYMETRIX")
 STRANDS = ("plus", "minus", "both")
@@ -78,3 +78,25 @@ class SearchConfig:
             if not rules.get(f.name, True):
                 raise ValueError(f"{f.name} is out of range: {getattr(self, f.name)!r}")
         return self
+
+    def with_thresholds(self, primers: bool, probes: bool) -> SearchConfig:
+        """Self with the bounds its assays need, or ValueError if they are missing.
+
+        PCR needs a bound on the Tm or free energy of primers, and of probes if
+        there are any. The other formats take primer bounds for probes where
+        probe bounds are missing.
+        """
+        names = {x: [f"{m}_{x}_{v}" for v in ("tm", "dg") for m in ("min", "max")] for x in ("primer", "probe")}
+        plain = SearchConfig()
+        given = {x: any(getattr(self, n) != getattr(plain, n) for n in ns) for x, ns in names.items()}
+        if self.assay == "PCR":
+            if primers and not given["primer"]:
+                raise ValueError("bounds on the Tm or free energy of primers are missing")
+            if probes and not given["probe"]:
+                raise ValueError("bounds on the Tm or free energy of probes are missing")
+            return self
+        if given["probe"]:
+            return self
+        if not given["primer"]:
+            raise ValueError("bounds on the Tm or free energy of probes are missing")
+        return replace(self, **{p: getattr(self, f) for f, p in zip(names["primer"], names["probe"])})

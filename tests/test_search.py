@@ -185,6 +185,19 @@ def test_validation():
             SearchConfig(**bad).validate()
 
 
+def test_thresholds_and_small_functions(spark):
+    with pytest.raises(ValueError):
+        SearchConfig().with_thresholds(True, False)
+    with pytest.raises(ValueError):
+        SearchConfig(min_primer_tm=50).with_thresholds(True, True)
+    assert SearchConfig(min_primer_tm=50).with_thresholds(True, False).min_probe_tm == 0
+    assert SearchConfig(assay="PROBE", min_primer_tm=50).with_thresholds(False, True).min_probe_tm == 50
+    assert SearchConfig(assay="MIPS", min_primer_tm=50, min_probe_tm=40).with_thresholds(True, False).min_probe_tm == 40
+    assert spark.range(1).select(duplex.effective_concentration(F.lit(2.0), F.lit(6.0))).first()[0] == 5.0
+    t = spark.createDataFrame([(1, 1, 1, 0, 9, 50.0, 3, 5), (1, 1, 1, 0, 9, 60.0, 4, 6), (1, 1, 1, 1, 9, 10.0, 4, 6)], "assay_id long, degen_id long, target_id long, start long, stop long, p_tm double, p_loc_5 long, p_loc_3 long")
+    assert sorted(x.p_tm for x in results.best_probe(t).collect()) == [10.0, 60.0]
+
+
 def test_masking(spark):
     s = F.lit("AACCGGTTAACC")
     row = spark.range(1).select(masking.mask_primers(s, F.lit(3), F.lit(2)).alias("m"), masking.replace_ends(s, F.lit("NNN"), F.lit("TT")).alias("r"), masking.mask_ranges(s, F.array(F.struct(F.lit(2).alias("start"), F.lit(4).alias("stop")))).alias("p")).first()
