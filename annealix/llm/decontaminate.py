@@ -9,9 +9,9 @@ own, so every fingerprint within radius 8 r + 7 is found in at least one block.
 Candidates are verified by the exact weighted Jaccard similarity of the
 shingles (weights are their numbers), at ``threshold`` or more.
 
-Windows that share too few shingles with the whole block of items to reach the
-threshold with any of them are passed over before they are hashed; that bound
-is exact.
+Windows that share too few shingles with all items of their length together to
+reach the threshold with any of them are passed over before they are hashed;
+that bound is exact.
 
 Items are taken in blocks of at most ``block_bytes`` of text; each block's
 index is broadcast and documents are read once per block. Nothing else grows
@@ -83,6 +83,12 @@ class ItemIndex:
             self.tables[n] = [dict(b) for b in blocks]
         # Shingles of short items have fewer words, so a document is shingled once for each size.
         self.sizes = {s: np.unique(np.concatenate([self.shingles[k] for n, items in self.by_words.items() if min(n, self.size) == s for k in items])) for s in {min(n, self.size) for n in self.by_words}}
+        owners: dict[int, set[int]] = defaultdict(set)
+        for n, items in self.by_words.items():
+            for k in items:
+                for value in self.shingles[k].tolist():
+                    owners[value].add(n)
+        self.owners = {value: tuple(sorted(ns)) for value, ns in owners.items()}
         self.seen = {}
         for s, values in self.sizes.items():
             self.seen[s] = np.zeros(1 << 20, bool)
@@ -109,36 +115,35 @@ class ItemIndex:
     def search(self, words: np.ndarray, by_size: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[float, int, int]]:
         """Best (similarity, first word, words) of each item found. ``by_size``: shingles and hits by shingle length."""
         best: dict[int, tuple[float, int, int]] = {}
-        sums: dict[int, np.ndarray] = {}
-        ones: dict[int, np.ndarray] = {}
-        for n_words in self.tables:
+        # Where shingles of items of each length lie.
+        places: dict[int, list[int]] = defaultdict(list)
+        for h, hit in by_size.values():
+            at = np.flatnonzero(hit)
+            for p, value in zip(at.tolist(), h[at].tolist()):
+                for n_words in self.owners[value]:
+                    places[n_words].append(p)
+        for n_words, found in places.items():
             s = min(n_words, self.size)
-            if s not in by_size:
-                continue
-            h, hit = by_size[s]
+            h, _ = by_size[s]
             width = min(n_words, len(words))
             n_item, n = n_words - s + 1, width - s + 1
             need = self.threshold * (n_item + n) / (1 + self.threshold) - 1e-9
-            if n < need:
+            if len(found) < need or n < need:
                 continue
-            if s not in sums:
-                sums[s] = np.concatenate(([0], np.cumsum(hit)))
-            shared = sums[s][n:] - sums[s][:-n]
-            starts = np.flatnonzero(shared >= need)
+            at = np.array(found)
+            # Only windows from the first to the last such shingle can hold enough of them.
+            lo, hi = max(int(at[0]) - n + 1, 0), min(int(at[-1]) + n, len(h))
+            own = np.zeros(hi - lo + 1, np.int64)
+            own[at - lo + 1] = 1
+            sums = np.cumsum(own)
+            starts = np.flatnonzero(sums[n:] - sums[:-n] >= need) + lo
             if not len(starts):
                 continue
-            if s not in ones:
-                # Set bits of the shingles, summed up; only where windows of interest lie.
-                lo, hi = _span(hit)
-                bits = np.unpackbits(h[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                ones[s] = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
-            lo, hi = _span(hit)
+            bits = np.unpackbits(h[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
             for start in starts.tolist():
-                if lo <= start and start + n <= hi:
-                    count = ones[s][start + n - lo] - ones[s][start - lo]
-                    fp = int(np.packbits(2 * count > n).view(">u8")[0])
-                else:
-                    fp = simhash(h[start : start + n])
+                count = ones[start + n - lo] - ones[start - lo]
+                fp = int(np.packbits(2 * count > n).view(">u8")[0])
                 for k in self.candidates(n_words, fp):
                     sim = similarity(self.shingles[k], h[start : start + n])
                     if sim >= self.threshold - 1e-12 and (k not in best or sim > best[k][0]):
@@ -146,11 +151,6 @@ class ItemIndex:
         return best
 
 
-def _span(hit: np.ndarray) -> tuple[int, int]:
-    at = np.flatnonzero(hit)
-    return int(at[0]), int(at[-1]) + 1
-
-
 def build_index(rows: list[tuple], size: int, threshold: float) -> ItemIndex:
     index = ItemIndex(size, threshold)
     if rows:
