@@ -186,8 +186,8 @@ def repeated_ranges(texts: DataFrame, *, length: int = 400, seed: int = 200, pie
     live = units.join(shared, "seed", "left_semi")
     # Entries are named by a hash of both, so that a frequent trigger's rows are combined before they meet.
     live = live.withColumn("entry", F.xxhash64("seed", "ctx"))
-    entries = live.groupBy("entry", "ctx").agg(F.first("seed").alias("seed"), F.count("*").alias("n"), F.min(F.struct("tk", "lo")).alias("one"))
-    ends = entries.groupBy("seed").agg(F.min("n").alias("fewest"))
+    entries = materialise(live.groupBy("entry", "ctx").agg(F.first("seed").alias("seed"), F.count("*").alias("n"), F.min(F.struct("tk", "lo")).alias("one")), "entries")
+    ends = materialise(entries.groupBy("seed").agg(F.min("n").alias("fewest")), "triggers")
     known = entries.join(ends, "seed").select("entry", "ctx", "n", "one", (F.col("fewest") == 1).alias("open"))
     status = materialise(live.join(known, ["entry", "ctx"]).select("tk", "lo", "hi", "seed", (F.col("n") == 1).alias("once"), "open", (F.struct("tk", "lo") == F.col("one")).alias("first")), "phrase-status")
     whole = status.where(~F.col("once")).select("tk", "lo", "hi")
