@@ -155,8 +155,12 @@ def _add(binned: DataFrame) -> DataFrame:
 
 def _with_estimates(rows: DataFrame, est: DataFrame, broadcast_rows: int) -> DataFrame:
     """Rows beside their group's estimate; the estimates are broadcast only if they are few."""
-    small = len(est.limit(broadcast_rows + 1).select("grp").tail(broadcast_rows + 1)) <= broadcast_rows if broadcast_rows else False
-    return rows.join(F.broadcast(est) if small else est, "grp")
+    return rows.join(_small(est, broadcast_rows), "grp")
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast if it has up to ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def judge(
@@ -187,8 +191,7 @@ def judge(
     keyed = cells.withColumn("grp", F.when(own, name("lang", "source")).when(pooled >= least, name("lang")).otherwise(F.lit("[]"))).select(F.col("lang").alias("l"), F.col("source").alias("s"), "grp")
     same = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
     # The cells are joined as the estimates are: few, or else by a shuffle that AQE can split.
-    few = len(keyed.limit(broadcast_rows + 1).select("grp").tail(broadcast_rows + 1)) <= broadcast_rows
-    rows = materialise(rows.join(F.broadcast(keyed) if few else keyed, same, "left").drop("l", "s").withColumn("grp", F.when(F.col("base_failed"), F.lit(None)).otherwise(F.col("grp"))), "quality-groups")
+    rows = materialise(rows.join(_small(keyed, broadcast_rows), same, "left").drop("l", "s").withColumn("grp", F.when(F.col("base_failed"), F.lit(None)).otherwise(F.col("grp"))), "quality-groups")
 
     fit = rows.where(F.col("grp").isNotNull()).select("grp", *xs)
     sizes = fit.groupBy("grp").agg(F.count("*").alias("total")).where(F.col("total") >= least)
@@ -222,7 +225,6 @@ def judge(
             near = F.col("before") < coverage * F.col("total")
         est = materialise(_estimate(_add(binned.where(near | (F.col("before") == 0))), "1.0D" if not last else "1.1D"), "quality-estimate")
 
-    few_est = len(est.limit(broadcast_rows + 1).select("grp").tail(broadcast_rows + 1)) <= broadcast_rows
-    judged = rows.join(F.broadcast(est) if few_est else est, "grp", "left").withColumn("distance", F.when(F.col("c").isNotNull(), _distance()))
+    judged = rows.join(_small(est, broadcast_rows), "grp", "left").withColumn("distance", F.when(F.col("c").isNotNull(), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
     return judged.select("doc_id", *COUNTS[:5], "base_failed", kept.alias("kept"), "distance", "n_lines")
