@@ -215,7 +215,7 @@ def write_token_files(
 ) -> DataFrame:
     """Write the files and return their manifest: part, path, n_docs, n_tokens, n_rows, first (tokens before the file)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 4096)  # the larger a batch, the fewer distinct pieces it has for its size
     base = pick(docs, id_col, text_col)
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bytes_per_file))
