@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, key_of, materialise, pick, with_texts
@@ -195,7 +195,7 @@ def _alike(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def similar_texts(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, threshold: int = 2, samples: int = 20, size: int = 3) -> DataFrame:
+def similar_texts(texts: DataFrame, *, words: int = 5, similarity: float = 0.8, threshold: int = 2, samples: int = 20, size: int = 3, rare: int = 64) -> DataFrame:
     """a, b: verified links between texts (tk, text; equal texts have equal tk) of Jaccard ``similarity`` or more.
 
     Texts that are 80 % alike differ in a dozen bits of their SimHash, and the
@@ -209,7 +209,9 @@ def similar_texts(texts: DataFrame, *, words: int = 5, similarity: float = 0.8,
     order, so a group of any size has two candidates a text. A first round takes
     two orders, which join most of a group; a second takes another order for
     every sample, so that a text meets many of its like, and leaves out pairs
-    that are in one component already.
+    that are in one component already. Groups that are still in several
+    components then go to ``_across``, which is exact: of two like texts that
+    share a sample none misses the other's component.
     """
     bounded_batches(texts.sparkSession)
     sigs = materialise(_samples(texts, words, samples, size), "samples")
@@ -218,7 +220,12 @@ def similar_texts(texts: DataFrame, *, words: int = 5, similarity: float = 0.8,
         place = F.struct(F.xxhash64("tk", F.col("k") % orders).alias("h"), "tk")
         ends = materialise(sigs.groupBy("k", "fp").agg(F.min(place).alias("low"), F.max(place).alias("high")), "sample-ends")
         shared = ends.where(F.col("low.tk") != F.col("high.tk"))
-        pairs = sigs.join(shared, ["k", "fp"]).select("tk", F.explode(F.array("low.tk", "high.tk")).alias("end"))
+        met = sigs.join(shared, ["k", "fp"])
+        if first is None:
+            # Only samples that another text has too are needed again.
+            met = materialise(met, "shared-samples")
+            sigs = met.select("tk", "k", "fp")
+        pairs = met.select("tk", F.explode(F.array("low.tk", "high.tk")).alias("end"))
         if first is None:
             whole = ends.where("k = -1").select("fp", F.col("low.tk").alias("tk"))
             near = links(whole.select("fp"), threshold).join(whole.toDF("a", "tk"), "a").join(whole.toDF("b", "end"), "b").select("tk", "end")
@@ -231,7 +238,79 @@ def similar_texts(texts: DataFrame, *, words: int = 5, similarity: float = 0.8,
             pairs = pairs.where(F.coalesce(F.col("part_a") != F.col("part_b"), F.lit(True))).select("a", "b")
         good = materialise(_verified(materialise(pairs, "candidate-pairs"), texts, words, similarity), "similar-pairs")
         first = good if first is None else first.unionByName(good)
-    return first
+    parts = connected_components(first).toDF("tk", "part")
+    placed = materialise(sigs.join(parts, "tk", "left").withColumn("part", F.coalesce("part", "tk")), "sample-parts")
+    torn = placed.groupBy("k", "fp").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    apart = materialise(placed.join(torn, ["k", "fp"], "left_semi").select("tk", "part").distinct(), "texts-apart")
+    pairs = materialise(_across(apart, texts, words, similarity, rare), "candidate-pairs")
+    return first.unionByName(materialise(_verified(pairs, texts, words, similarity), "similar-pairs"))
+
+
+def _shingles(texts: DataFrame, words: int) -> DataFrame:
+    """tk, n (number of different shingles), h (each of them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, counts = word_hashes(b.column("text"))
+            at = 0
+            for tk, n_words in zip(b.column("tk").to_pylist(), counts.tolist()):
+                h = np.unique(shingle(flat[at : at + n_words], words)).view(np.int64)
+                at += n_words
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), tk, np.int64)), pa.array(np.full(len(h), len(h), np.int64)), pa.array(h)], ["tk", "n", "h"])
+
+    return texts.select("tk", "text").mapInArrow(run, "tk long, n long, h long")
+
+
+def _across(apart: DataFrame, texts: DataFrame, words: int, similarity: float, rare: int) -> DataFrame:
+    """a, b: candidates that join all components (part) of texts (tk) with a like pair between them. No list is cut.
+
+    Shingles are ordered by the number of texts that have them, those of one
+    component alone first. Two like texts of different components share one
+    among the first n - ceil(similarity * n) + 1 of both (prefix filter); a text
+    without a shared shingle there is left out. If the first shared one is
+    rare (in up to ``rare`` texts), a join on it finds the pair. Else the two
+    share frequent shingles only, such as those of a common passage. Texts of
+    equal frequent shingles are a class; the fewer others a text has, the more
+    like it is to each of its class or of another, so if two texts are alike,
+    so are each of them and the text of the fewest others in the other's class.
+    Only that text of a class need be a candidate, and the joins on frequent
+    shingles are between classes.
+    """
+    rows = with_texts(texts, apart.select("tk")).select("tk", "text")
+    held = _shingles(rows, words).join(apart, "tk")
+    need = F.ceil(similarity * F.col("n") - 1e-9)
+    for _ in range(2):  # texts that go may leave others without a shared shingle
+        held = materialise(held.select("tk", "part", "n", "h"), "shingles-apart")
+        live = held.groupBy("h").agg(F.count("*").alias("df"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("h", "df")
+        held = materialise(held.join(live, "h"), "shingles-shared")
+        stay = held.groupBy("tk").agg(F.count("*").alias("n_live"), F.first("n").alias("n")).where(F.col("n_live") >= need).select("tk", "n_live")
+        held = held.join(stay, "tk")
+    by_text = Window.partitionBy("tk").orderBy("df", "h")
+    frequent = F.col("df") > rare
+    held = materialise(held.withColumn("place", F.row_number().over(by_text)), "shingles-shared")
+    first = materialise(held.where(F.col("place") <= F.col("n_live") - need + 1), "shingle-prefixes")
+
+    one = first.where(~frequent).select("h", "tk", "part", "n")
+    like = (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-9)
+    met = one.toDF("h", "a", "part_a", "n_a").join(one.toDF("h", "b", "part_b", "n_b"), "h").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & like)
+    found = met.select("a", "b").distinct()
+
+    sets = held.where(frequent).groupBy("tk", "part", "n").agg(F.count("*").alias("f"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y"))
+    sets = sets.where(F.col("f") >= need).select("tk", "part", "f", (F.col("n") - F.col("f")).alias("r"), F.xxhash64("f", "x", "y").alias("cls"))
+    members = materialise(sets, "shingle-classes")
+    classes = members.groupBy("cls").agg(F.first("f").alias("f"), F.min(F.struct("r", "tk", "part")).alias("best"), F.min("part").alias("low"), F.max("part").alias("high"))
+    classes = materialise(classes.select("cls", "f", F.col("best.r").alias("r"), F.col("best.tk").alias("tk"), "best.part", "low", "high"), "shingle-classes")
+    # Which classes meet, each with itself included; u is at least the greater f, what is shared at most the lesser.
+    room = lambda r, q: F.least("f_a", "f_b") / similarity - F.greatest("f_a", "f_b") - F.col(r) - F.col(q) >= -1e-6
+    keyed = first.where(frequent).select("tk", "h").join(classes, "tk").select("h", "cls", "f", "r", "low", "high")
+    sides = [keyed.toDF("h", *[f"{c}_{x}" for c in ("cls", "f", "r", "low", "high")]) for x in "ab"]
+    mixed = (F.least("low_a", "low_b") < F.greatest("high_a", "high_b")) & (F.col("cls_a") != F.col("cls_b"))
+    meet = sides[0].join(sides[1], "h").where(mixed & room("r_a", "r_b")).select("cls_a", "cls_b").distinct()
+    meet = meet.unionByName(classes.where("low < high").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b")))
+    best = classes.select(F.col("cls").alias("cls_b"), F.col("tk").alias("b"), F.col("part").alias("part_b"), F.col("f").alias("f_b"), F.col("r").alias("r_b"))
+    each = members.select(F.col("cls").alias("cls_a"), F.col("tk").alias("a"), F.col("part").alias("part_a"), F.col("f").alias("f_a"), F.col("r").alias("r_a"))
+    led = each.join(materialise(meet, "class-pairs").join(best, "cls_b"), "cls_a").where((F.col("part_a") != F.col("part_b")) & room("r_a", "r_b"))
+    return found.unionByName(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:

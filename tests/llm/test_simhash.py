@@ -108,3 +108,40 @@ def test_deduplicate_null_and_repeated_ids(spark):
     t = "a b c d e f g h i j k l m n o p"
     df = frame(spark, [t, t, t + " q", "other words stay here as they are"], [None, 4, 4, None])
     assert sorted(map(str, ((x.doc_id, x.text) for x in simhash.deduplicate(df).collect()))) == sorted(map(str, [(4, t), (None, "other words stay here as they are")]))
+
+
+def parts_by_brute_force(texts, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    comp = list(range(len(texts)))
+    alike = [[j for j in range(len(texts)) if len(a & sets[j]) >= similarity * len(a | sets[j])] for a in sets]
+    while (new := [min(comp[j] for j in near) for near in alike]) != comp:
+        comp = new
+    return comp
+
+
+def test_pairs_inside_a_family_with_a_shared_passage(spark):
+    r = random.Random(17)
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage, texts = text(170), []
+    for _ in range(250):
+        own = text(9)
+        texts += [" ".join(passage + own + text(21)) for _ in range(2)]
+    got = {x.doc_id for x in simhash.deduplicate(frame(spark, texts)).collect()}
+    assert got == set(range(0, 500, 2))
+
+
+def test_texts_made_of_shared_blocks(spark):
+    r = random.Random(23)
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    blocks, texts = [text(20) for _ in range(12)], []
+    for _ in range(150):
+        picked = sorted(r.sample(range(12), 9))
+        texts.append(" ".join([w for b in picked for w in blocks[b]] + text(r.randint(0, 20))))
+    comp = parts_by_brute_force(texts)
+    assert 20 < len(set(comp)) < 140
+    for rare in (3, 64):
+        got = {x.doc_id for x in simhash.deduplicate(frame(spark, texts), rare=rare).collect()}
+        assert got == set(comp)
