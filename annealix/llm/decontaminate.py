@@ -9,6 +9,11 @@ own, so every fingerprint within radius 8 r + 7 is found in at least one block.
 Candidates are verified by the exact weighted Jaccard similarity of the
 shingles (weights are their numbers), at ``threshold`` or more.
 
+A shingle that is repeated weighs so much in a SimHash that a window may be
+alike and yet beyond the radius. So items with a repeated shingle are candidates
+of every window that passes the bound below, and all items of the length are
+candidates of such a window with a repeated shingle.
+
 Windows that share too few shingles with all items of their length together to
 reach the threshold with any of them are passed over before they are hashed;
 that bound is exact.
@@ -52,6 +57,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def next_repeat(h: np.ndarray) -> np.ndarray:
+    """For each place the first one by which a shingle from there on has come twice; the length, if none does."""
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    again = np.full(len(h), len(h))
+    again[order[:-1][same]] = order[1:][same]
+    return np.minimum.accumulate(again[::-1])[::-1]
+
+
 @dataclass
 class ItemIndex:
     """Fingerprints and shingles of one block of items."""
@@ -62,6 +76,7 @@ class ItemIndex:
     shingles: list[np.ndarray] = field(default_factory=list)
     fps: list[int] = field(default_factory=list)
     by_words: dict[int, list[int]] = field(default_factory=lambda: defaultdict(list))
+    repeating: dict[int, set[int]] = field(default_factory=lambda: defaultdict(set))
     tables: dict[int, list[dict[int, list[int]]]] = field(default_factory=dict)
 
     def add(self, item_id, words: np.ndarray) -> None:
@@ -70,9 +85,11 @@ class ItemIndex:
         self.shingles.append(shingle(words, self.size))
         self.fps.append(simhash(self.shingles[k]))
         self.by_words[len(words)].append(k)
+        if len(np.unique(self.shingles[k])) < len(self.shingles[k]):
+            self.repeating[len(words)].add(k)
 
     def seal(self) -> ItemIndex:
-        self.by_words = dict(self.by_words)
+        self.by_words, self.repeating = dict(self.by_words), dict(self.repeating)
         for n, items in self.by_words.items():
             r = self.reach(n)
             blocks: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(8)]
@@ -141,10 +158,15 @@ class ItemIndex:
                 continue
             bits = np.unpackbits(h[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             ones = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
+            again = next_repeat(h[lo:hi])
             for start in starts.tolist():
-                count = ones[start + n - lo] - ones[start - lo]
-                fp = int(np.packbits(2 * count > n).view(">u8")[0])
-                for k in self.candidates(n_words, fp):
+                if again[start - lo] < start + n - lo:
+                    near = self.by_words[n_words]
+                else:
+                    count = ones[start + n - lo] - ones[start - lo]
+                    fp = int(np.packbits(2 * count > n).view(">u8")[0])
+                    near = self.candidates(n_words, fp) | self.repeating.get(n_words, set())
+                for k in near:
                     sim = similarity(self.shingles[k], h[start : start + n])
                     if sim >= self.threshold - 1e-12 and (k not in best or sim > best[k][0]):
                         best[k] = (sim, start, width)

@@ -87,3 +87,21 @@ def test_empty(spark):
     assert [(x.doc_id, x.item_id) for x in dc.find_leaks(df, bench).collect()] == [(None, 1)]
     assert dc.find_leaks(df.limit(0), bench).count() == 0
     assert dc.find_leaks(df, bench.limit(0)).count() == 0
+
+
+def test_runs_of_one_word_on_either_side(spark):
+    r = random.Random(4)
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    items, texts = [], []
+    for k in range(24):
+        head, tail = text(116), text(116)
+        run, plain = ([f"la{k}"] * 24, text(24))[:: 1 if k % 2 else -1]
+        items.append((k, " ".join(head + run + tail)))
+        texts.append(" ".join(text(9) + head + plain + tail + text(9)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): round(x.similarity, 9) for x in dc.find_leaks(frame(spark, texts), bench).collect()}
+    assert got == {(k, k): 0.8 for k in range(24)}
+
+
+def test_next_repeat():
+    assert dc.next_repeat(np.array([5, 7, 5, 8, 7, 9], np.uint64)).tolist() == [2, 4, 6, 6, 6, 6]
