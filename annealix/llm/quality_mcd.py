@@ -170,7 +170,7 @@ def judge(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
-    coverage: float = 0.75,
+    coverage: float = 0.5,
     steps: int = 5,
     least: int = 200,
     cutoff: float = 60.0,

@@ -46,6 +46,17 @@ def test_outliers_go_and_clean_stays(spark):
     assert not any(got[i] for i in range(500, 560))
 
 
+def test_large_share_of_junk_goes(spark):
+    r = random.Random(2)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    clean = [" ".join(r.choice(vocab) for _ in range(r.randint(60, 400))) for _ in range(300)]
+    junk = [" ".join(r.choice(vocab) + r.choice(["###", "$$$", "|"]) for _ in range(r.randint(60, 400))) for _ in range(200)]
+    df = frame(spark, clean + junk).selectExpr("doc_id", "text", "'en' as lang", "'web' as source")
+    got = {x.doc_id: x.kept for x in quality_mcd.judge(df).collect()}
+    assert all(got[i] for i in range(300))
+    assert not any(got[i] for i in range(300, 500))
+
+
 def test_chi2():
     for q, df, want in ((0.5, 5, 4.351), (0.975, 5, 12.833), (0.95, 1, 3.841)):
         assert abs(quality_mcd.chi2(q, df) - want) < 0.12
