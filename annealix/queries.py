@@ -337,9 +337,9 @@ def _(spark, d):
 
 @register("bind_thermo", None)
 def _(spark, d):
-    """Bindings of 18-base primers, cut from every 40th target with one base changed, in all targets."""
+    """Bindings of 18-base primers, cut from every 20th target with one base changed, in all targets."""
     t = demo.targets(spark, d)
-    cut = t.where("target_id % 40 = 1").select(F.concat(F.substring("seq", 65, 9), F.translate(F.substring("seq", 74, 1), "ACGT", "CGTA"), F.substring("seq", 75, 8)).alias("oligo")).distinct()
+    cut = t.where("target_id % 20 = 0").select(F.concat(F.substring("seq", 65, 9), F.translate(F.substring("seq", 74, 1), "ACGT", "CGTA"), F.substring("seq", 75, 8)).alias("oligo")).distinct()
     win = seeds.windows(seeds.diagonals(seeds.seed_hits(cut, t, 7)), t).withColumn("ct", F.lit(duplex.DEFAULT_PRIMER_CT))
     found = bindings.within(bindings.bind(win), tm=(20.0, 9999.0))
     return bindings.unique(found, "oligo", "target_id").select("oligo", "strand", "target_id", "loc_5", "loc_3", *[F.round(c, 6).alias(c) for c in ("dh", "ds", "dg", "tm")], "anchor_5", "anchor_3", "num_mm", "num_gap")
@@ -347,13 +347,13 @@ def _(spark, d):
 
 @register("self_structure", None)
 def _(spark, d):
-    o = demo.targets(spark, d).where("target_id % 20 = 1").select(F.substring("seq", 1, 24).alias("oligo"))
+    o = demo.targets(spark, d).select(F.substring("seq", 1, 24).alias("oligo"))
     return bindings.self_structure(o, duplex.DEFAULT_PRIMER_CT)
 
 
 @register("dimer_tm", None)
 def _(spark, d):
-    p = demo.targets(spark, d).where("target_id % 20 = 1").select(F.substring("seq", 1, 20).alias("forward"), bases.revcomp(F.substring("seq", 70, 20)).alias("reverse"))
+    p = demo.targets(spark, d).select(F.substring("seq", 1, 20).alias("forward"), bases.revcomp(F.substring("seq", 70, 20)).alias("reverse"))
     return bindings.heterodimers(p, duplex.DEFAULT_PRIMER_CT)
 
 
