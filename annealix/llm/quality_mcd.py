@@ -12,7 +12,8 @@ and moments are summed per group and bin (combined before the shuffle, so a
 group of any size is a few hundred rows), and the bins that hold the nearest
 half are merged. No row is sampled and no group meets in one task. Groups of
 fewer than ``least`` rows are pooled by language, then altogether; if even that
-pool is too small its rows are kept.
+pool is too small its rows are judged by an estimate over all rows, be they
+however few (``FLOOR`` then bounds the scatter).
 
 Scatter is regularised: no direction is taken to vary less than ``FLOOR``, as
 some counts are zero in nearly all clean texts.
@@ -176,7 +177,7 @@ def judge(
     cutoff: float = 60.0,
     broadcast_rows: int = 20_000,
 ) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, distance (squared; null where no estimate applies)."""
+    """doc_id, the counts, base_failed, kept, distance (squared; null where the base rules fail)."""
     counts = count_documents(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     xs = {f"x{i}": s for i, s in enumerate(statistics())}
@@ -188,15 +189,17 @@ def judge(
     own = F.col("n") >= least
     pooled = F.sum(F.when(~own, F.col("n"))).over(by_lang)
     name = lambda *c: F.to_json(F.array(*c))
-    keyed = cells.withColumn("grp", F.when(own, name("lang", "source")).when(pooled >= least, name("lang")).otherwise(F.lit("[]"))).select(F.col("lang").alias("l"), F.col("source").alias("s"), "grp")
+    keyed = cells.withColumn("grp", F.when(own, name("lang", "source")).when(pooled >= least, name("lang")).otherwise(F.lit("[]"))).select(F.col("lang").alias("l"), F.col("source").alias("s"), "grp", "n")
+    left = keyed.where("grp = '[]'").agg(F.sum("n")).first()[0] or 0
     same = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
     # The cells are joined as the estimates are: few, or else by a shuffle that AQE can split.
-    rows = materialise(rows.join(_small(keyed, broadcast_rows), same, "left").drop("l", "s").withColumn("grp", F.when(F.col("base_failed"), F.lit(None)).otherwise(F.col("grp"))), "quality-groups")
+    rows = materialise(rows.join(_small(keyed.drop("n"), broadcast_rows), same, "left").drop("l", "s").withColumn("grp", F.when(F.col("base_failed"), F.lit(None)).otherwise(F.col("grp"))), "quality-groups")
 
     fit = rows.where(F.col("grp").isNotNull()).select("grp", *xs)
-    sizes = fit.groupBy("grp").agg(F.count("*").alias("total")).where(F.col("total") >= least)
+    if 0 < left < least:
+        fit = fit.unionByName(fit.where("grp <> '[]'").withColumn("grp", F.lit("[]")))
     # First estimate: medians and median absolute deviations of each statistic.
-    med = materialise(fit.groupBy("grp").agg(F.array(*[F.percentile_approx(x, 0.5, 2000) for x in xs]).alias("c")).join(sizes, "grp").drop("total"), "quality-start")
+    med = materialise(fit.groupBy("grp").agg(F.array(*[F.percentile_approx(x, 0.5, 2000) for x in xs]).alias("c")), "quality-start")
     away = _with_estimates(fit, med, broadcast_rows)
     mads = [F.percentile_approx(F.abs(F.col(x) - F.get("c", F.lit(i))), 0.5, 2000) for i, x in enumerate(xs)]
     floor = list(FLOOR.values())

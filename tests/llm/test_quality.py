@@ -57,6 +57,20 @@ def test_large_share_of_junk_goes(spark):
     assert not any(got[i] for i in range(300, 500))
 
 
+def test_rows_of_small_pools_are_judged(spark):
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    clean = lambda: " ".join(r.choice(vocab) for _ in range(r.randint(60, 400)))
+    junk = lambda: " ".join(r.choice(vocab) + "###" for _ in range(100))
+    texts = [clean() for _ in range(230)] + [junk() for _ in range(10)] + [clean() for _ in range(20)] + [junk() for _ in range(3)]
+    df = frame(spark, texts).selectExpr("doc_id", "text", "if(doc_id < 240, 'en', 'xx') as lang", "'web' as source")
+    bad = {*range(230, 240), *range(260, 263)}
+    assert {x.doc_id for x in quality_mcd.judge(df).where("not kept").collect()} == bad
+    few = df.where("doc_id >= 200 and doc_id < 240")
+    assert {x.doc_id for x in quality_mcd.judge(few).where("not kept").collect()} == set(range(230, 240))
+    assert quality_mcd.judge(df.where("doc_id = 7")).where("kept").count() == 1
+
+
 def test_chi2():
     for q, df, want in ((0.5, 5, 4.351), (0.975, 5, 12.833), (0.95, 1, 3.841)):
         assert abs(quality_mcd.chi2(q, df) - want) < 0.12
