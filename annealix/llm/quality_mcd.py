@@ -38,7 +38,7 @@ from .common import bounded_batches, materialise, pick
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
 #: Names of the statistics and the least standard deviation each is taken to have.
-FLOOR = {"log_words": 0.5, "log_word_length": 0.08, "symbols": 0.3, "dup_lines": 0.3, "repeats": 0.2}
+FLOOR = {"log_words": 0.5, "log_word_length": 0.08, "symbols": 0.3, "dup_lines": 0.25, "repeats": 0.2}
 P = len(FLOOR)
 _BINS_PER_OCTAVE, _LOW, _HIGH = 16, -160, 400
 

@@ -71,6 +71,15 @@ def test_rows_of_small_pools_are_judged(spark):
     assert quality_mcd.judge(df.where("doc_id = 7")).where("kept").count() == 1
 
 
+def test_copied_lines_alone_can_decide(spark):
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.randint(150, 250))) for _ in range(220)]
+    texts.append("\n".join(r.choice(vocab[:40]) for _ in range(200)))
+    df = frame(spark, texts).selectExpr("doc_id", "text", "'en' as lang", "'web' as source")
+    assert [(x.doc_id, x.base_failed) for x in quality_mcd.judge(df).where("not kept").collect()] == [(220, False)]
+
+
 def test_chi2():
     for q, df, want in ((0.5, 5, 4.351), (0.975, 5, 12.833), (0.95, 1, 3.841)):
         assert abs(quality_mcd.chi2(q, df) - want) < 0.12
