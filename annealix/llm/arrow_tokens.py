@@ -12,8 +12,14 @@ Files are written under another name and moved into place, so a task that is
 run again leaves the same file. The manifest is a table; its commit is the
 commit of the whole set.
 
+Ids are those of the library's own call on the whole text. Special tokens that
+a text spells out (``<|endoftext|>``) become their own id, as that call does.
+
 Null text: empty (the end id alone). Null ids sort first; rows with one id are
-ordered by their text's hash. Empty table: no files, empty result.
+ordered by their text's hash, which also spreads an often repeated id over
+files. Repeated rows are written each. A very long text lies in one file and is
+encoded at once. Other columns, whatever their names, are not read. Empty table:
+no files, empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +49,9 @@ class PieceEncoder:
     apart. ``words`` maps what follows such a space to its ids (with the space).
     A batch is cut and its distinct pieces found by Arrow; the library is called
     for pieces not yet known, and the ids of all texts are gathered by NumPy. A
-    text with other white space beside a space is encoded whole.
+    text with other white space beside a space, or with the spelling of an added
+    token in it, is encoded whole; so are texts with pieces that can't be told
+    apart (a vocabulary with tokens that have a space inside).
 
     Memory is bounded: pieces not seen since ``words`` was last full are dropped.
     """
@@ -55,30 +63,33 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.dtype = np.dtype(dtype)
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         space = self.tok.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         vocab = self.tok.get_vocab()
+        added = sorted({t.content for t in self.tok.get_added_tokens_decoder().values() if t.content}, key=len, reverse=True)
+        self.special = "|".join(map(re.escape, added))
+        self.is_special = re.compile(self.special or r"(?!)").search
         self.leads = np.zeros(max(vocab.values()) + 1, bool)
         self.leads[[i for t, i in vocab.items() if t.startswith(space)]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without spaces, each with a space before it.
+    def _learn(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of pieces without spaces, each with a space before it; None where they can't be told apart.
 
         Many are encoded as one text and told apart by the tokens that begin
         with a space, which only a piece's first token does.
         """
-        out: list[bytes] = []
+        out: list[bytes | None] = []
         parts = [pieces[at : at + 256] for at in range(0, len(pieces), 256)]
         for part, raw in zip(parts, self._library([" " + " ".join(p) for p in parts])):
             starts = np.flatnonzero(self.leads[np.frombuffer(raw, self.dtype)]) * self.dtype.itemsize
             if len(starts) != len(part):
-                raise AssertionError("a token within a piece begins with a space")
+                out += [None] * len(part)
+                continue
             stops = [*starts[1:].tolist(), len(raw)]
             out += [raw[a:b] for a, b in zip(starts.tolist(), stops)]
         return out
@@ -94,13 +105,16 @@ class PieceEncoder:
             if raw is not None:
                 out[k] = words[pieces[k]] = raw
         missing = [k for k, raw in enumerate(out) if raw is None]
-        unsafe = [k for k in missing if not pieces[k] or pieces[k].strip() != pieces[k]]
+        unsafe = [k for k in missing if not pieces[k] or pieces[k].strip() != pieces[k] or self.is_special(pieces[k])]
         for k in unsafe:
             out[k] = b""
         missing = [k for k in missing if out[k] is None]
         for k, raw in zip(missing, self._learn([pieces[k] for k in missing])):
             out[k] = raw
-            if len(pieces[k]) <= _MAX_WORD:
+            if raw is None:
+                out[k] = b""
+                unsafe.append(k)
+            elif len(pieces[k]) <= _MAX_WORD:
                 words[pieces[k]] = raw
         return out, unsafe
 
@@ -123,6 +137,8 @@ class PieceEncoder:
             odd = np.zeros(len(pieces), bool)
             odd[unsafe] = True
             whole = np.add.reduceat(odd[index], starts) > 0
+        if self.special:  # one with a space inside lies across pieces
+            whole |= pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False)
         # A text's first piece has no space before it; an odd text is one piece.
         first = [texts[k].as_py() if w else pieces[index[s]] for k, (w, s) in enumerate(zip(whole.tolist(), starts.tolist()))]
         entries += self._library(first)
@@ -219,7 +235,8 @@ def write_token_files(
     base = pick(docs, id_col, text_col)
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bytes_per_file))
-    ordered = base.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    ordered = base.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dtype = vocabulary_dtype(tokenizer_path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,9 +41,8 @@ def test_piece_encoder_equals_library():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     enc = arrow_tokens.PieceEncoder(JSON, "<u2")
-    texts = [t or "" for t in ODD] * 2 + ["a ", " a", "a\n b", "a \nb", "  ", "x Ġy  Ġ", "it 's 'll", "end end. end, éé. x1. 2. a.. b.\nc .d. e; ñ! q? 's. 漢字, ²."]
+    texts = [t or "" for t in ODD] * 2 + ["a ", " a", "a\n b", "a \nb", "  ", "x Ġy  Ġ", "it 's 'll", "a <|endoftext|> b<|endoftext|>c", "<|endoftext|><|endoftext|> x y", "<|end of text|>", "end end. end, éé. x1. 2. a.. b.\nc .d. e; ñ! q? 's. 漢字, ²."]
     for some in (texts, texts[5:], [texts[-1]]):
         ids, counts = enc.encode(pa.array(some), 2)
         for t, got in zip(some, np.split(ids, np.cumsum(counts)[:-1])):
@@ -54,7 +53,6 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     ids = [100 - i for i in range(len(ODD))]
     out = scratch(spark, "t")
     manifest = arrow_tokens.write_token_files(frame(spark, ODD, ids), out, JSON, seq_len=16, rows_per_batch=4)
@@ -78,6 +76,25 @@ def test_token_files(spark):
     assert seen == at
 
 
+def test_special_tokens_repeated_and_null_ids_and_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", None, "the same", "the same", "one more", "word and word, " * 20_000, "x" * 100_000]
+    ids = [7, None, None, None, 7, 7, 3]
+    assert tok.token_to_id("<|endoftext|>") in tok.encode(texts[0], add_special_tokens=False).ids
+    out = scratch(spark, "t")
+    manifest = arrow_tokens.write_token_files(frame(spark, texts, ids), out, JSON, seq_len=16, rows_per_batch=4, bytes_per_file=1000)
+    got = arrow_tokens.read_documents(manifest).collect()
+    want = sorted((i is not None, i or 0, len(raw := [*tok.encode(t or "", add_special_tokens=False).ids, 2]), zlib.crc32(np.array(raw, "<u4").tobytes())) for i, t in zip(ids, texts))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
 def test_token_files_of_nothing(spark):
     out = scratch(spark, "t")
     manifest = arrow_tokens.write_token_files(frame(spark, ["x"]).limit(0), out, JSON)
