@@ -10,17 +10,21 @@ gives files of like size too, and no row is rewritten more than once per tier.
 Every change is a new manifest: a table of the live files, written first, and
 then a version file that names it, moved into place without overwriting. The
 move is the commit. Readers see a whole version or none; of two writers one
-fails and can try again on top of the other. Old versions stay readable until
-``vacuum``.
-
-Rows are stored as they are: nulls, repeats and columns of any name stay. An
-empty arrival commits a version without new files. Built-in functions only;
-the driver handles names of versions and one row per file of the tier at hand.
+fails and tries again on top of the other. Old versions stay readable until
+``vacuum``, which never removes what a writer has not committed yet: of the
+folders no kept version names, those that a removed version names go at once,
+and those that no version ever named only after a period of grace.
+
+Rows are stored as they are: nulls, ties, repeats, very long texts and columns
+of any name stay. An empty arrival commits a version without new files.
+Built-in functions only; the driver handles names of versions and, as Spark's
+own file index does, one path per live file.
 """
 
 from __future__ import annotations
 
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,9 +76,14 @@ class ShardStore:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{self._manifest_folder(version)}")
 
-    def _commit(self, base: int, live: DataFrame) -> int:
-        """Write ``live`` as the manifest after ``base``. Raises Conflict if that version exists."""
+    def _commit(self, base: int, live: DataFrame, folder: str | None = None) -> int:
+        """Write ``live`` as the manifest after ``base``. Raises Conflict if that version exists.
+
+        ``folder`` holds the files that are new in it and must still be there.
+        """
         name, version = uuid.uuid4().hex, base + 1
+        if folder is not None and not self._fs().exists(self._path("data", folder)):
+            raise FileNotFoundError(f"{self.root}/data/{folder} was removed before its commit")
         live.coalesce(8).write.parquet(f"{self.root}/manifests/{name}")
         fs = self._fs()
         fs.mkdirs(self._path("versions"))
@@ -103,10 +112,15 @@ class ShardStore:
     # Operations
 
     def append(self, rows: DataFrame) -> int:
-        """Write the rows as small shards and commit them. Returns the version."""
-        base, folder = self.version(), uuid.uuid4().hex
+        """Write the rows as small shards and commit them, on top of any other writer. Returns the version."""
+        folder = uuid.uuid4().hex
         rows.write.parquet(f"{self.root}/data/{folder}")
-        return self._commit(base, self.manifest(base).unionByName(self._listed(folder, base + 1)))
+        while True:
+            base = self.version()
+            try:
+                return self._commit(base, self.manifest(base).unionByName(self._listed(folder, base + 1)), folder)
+            except Conflict:
+                continue
 
     def compact(self) -> list[int]:
         """Merge runs of like size until no tier has ``fanout`` files under the target. Returns the versions made."""
@@ -125,7 +139,10 @@ class ShardStore:
             folder = uuid.uuid4().hex
             self.spark.read.option("mergeSchema", True).parquet(*paths).coalesce(parts).write.parquet(f"{self.root}/data/{folder}")
             kept = live.join(run.select("path"), "path", "left_anti").select(*live.columns)
-            made.append(self._commit(base, kept.unionByName(self._listed(folder, base + 1))))
+            try:
+                made.append(self._commit(base, kept.unionByName(self._listed(folder, base + 1)), folder))
+            except Conflict:  # the run may have changed; choose again
+                self._fs().delete(self._path("data", folder), True)
 
     def read(self, version: int | None = None, schema=None) -> DataFrame:
         """The rows of a version."""
@@ -135,31 +152,33 @@ class ShardStore:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read.option("mergeSchema", True)
         return reader.parquet(*paths)
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete versions but the last ``keep``, and folders of data that no kept version names."""
+    def vacuum(self, keep: int = 1, grace_seconds: float = 86_400) -> None:
+        """Delete versions but the last ``keep``, what only they name, and older leftovers of writers that failed."""
         last, fs = self.version(), self._fs()
-        kept = [v for v in range(max(1, last - keep + 1), last + 1) if fs.exists(self._path("versions", f"{v:012d}"))]
-        named, manifests = set(), set()
-        for v in kept:
-            named |= {r.folder for r in self.manifest(v).select("folder").distinct().collect()}
-            manifests.add(self._manifest_folder(v))
-        for s in fs.listStatus(self._path("versions")):
-            name = s.getPath().getName()
-            if name.isdigit() and int(name) not in kept:
-                fs.delete(s.getPath(), False)
+        every = sorted(int(s.getPath().getName()) for s in (fs.listStatus(self._path("versions")) if last else []) if s.getPath().getName().isdigit())
+        kept = [v for v in every if v > last - keep]
+        named: dict[bool, set[str]] = {True: set(), False: set()}
+        manifests: dict[bool, set[str]] = {True: set(), False: set()}
+        for v in every:
+            manifests[v in kept].add(self._manifest_folder(v))
+            named[v in kept] |= {r.folder for r in self.manifest(v).select("folder").distinct().collect()}
+        for v in set(every) - set(kept):
+            fs.delete(self._path("versions", f"{v:012d}"), False)
+        edge = (time.time() - grace_seconds) * 1000
         for top, names in (("data", named), ("manifests", manifests)):
             if fs.exists(self._path(top)):
                 for s in fs.listStatus(self._path(top)):
-                    if s.getPath().getName() not in names:
+                    name = s.getPath().getName()
+                    if name not in names[True] and (name in names[False] or s.getModificationTime() < edge):
                         fs.delete(s.getPath(), True)
 
 
-def ingest(docs: DataFrame, root: str, *, arrival: F.Column | None = None, arrivals: int = 4, **sizes) -> ShardStore:
-    """Append ``arrivals`` batches (rows by the number in ``arrival``), compacting after each."""
+def ingest(docs: DataFrame, root: str, *, arrival: F.Column | None = None, arrivals: int = 4, keep: int = 2, **sizes) -> ShardStore:
+    """Append ``arrivals`` batches (rows by the number in ``arrival``), compacting after each; the last ``keep`` versions stay readable."""
     store = ShardStore(docs.sparkSession, root, **sizes)
     number = F.lit(0) if arrival is None else arrival
     for n in range(arrivals):
         store.append(docs.where(number == n))
         store.compact()
-        store.vacuum(keep=1)
+        store.vacuum(keep)
     return store

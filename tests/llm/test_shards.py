@@ -47,8 +47,39 @@ def test_commits_are_atomic(spark):
     # A crash before the move leaves no version.
     frame(spark, ["c"]).write.parquet(f"{store.root}/data/lost")
     assert sorted(r.text for r in store.read().collect()) == ["a", "b"]
-    store.vacuum()
+    store.vacuum(grace_seconds=0)
     assert sorted(r.text for r in store.read().collect()) == ["a", "b"]
+    assert not store._fs().exists(store._path("data", "lost"))
+
+
+def test_vacuum_spares_a_writer_between_write_and_commit(spark):
+    store, other = make(spark), None
+    for t in "abc":
+        store.append(frame(spark, [t]))
+    other = shards.ShardStore(spark, store.root, target_bytes=60_000, smallest_bytes=1000, fanout=3)
+    frame(spark, ["late"]).write.parquet(f"{store.root}/data/late")
+    assert store.compact()
+    store.vacuum()
+    base = other.version()
+    other._commit(base, other.manifest(base).unionByName(other._listed("late", base + 1)), "late")
+    assert sorted(r.text for r in store.read().collect()) == ["a", "b", "c", "late"]
+    with pytest.raises(FileNotFoundError):
+        store._commit(base + 1, store.manifest(), "gone")
+
+
+def test_writers_that_conflict_try_again(spark, monkeypatch):
+    store, other = make(spark), make(spark)
+    other.root = store.root
+    plain, calls = store._commit, []
+
+    def late(base, live, folder=None):
+        if not calls:
+            calls.append(other.append(frame(spark, ["first"])))
+        return plain(base, live, folder)
+
+    monkeypatch.setattr(store, "_commit", late)
+    assert store.append(frame(spark, ["second"])) == 2
+    assert sorted(r.text for r in store.read().collect()) == ["first", "second"]
 
 
 def test_empty(spark):
