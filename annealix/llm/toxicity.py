@@ -1,137 +1,192 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine (operator 6).
 
 ``fit`` takes a bounded sample of labelled rows (``max_examples``, the rows with
-the least hash of their id), counts the sample's terms by label, keeps up to
-``max_terms`` terms that are significantly more frequent with the label, and
-makes a TF-IDF vector of every example. Examples of equal vectors are one entry
-with their numbers. Entries are sorted and cut into blocks; per term and block
-the index keeps the largest weight.
+the least hash of their id) and makes a TF-IDF vector of every example. All
+terms of the sample stay. Plain TF-IDF finds texts of like topic rather than
+toxic ones (README), so the weight of a term is its TF-IDF times its relevance,
+the likelihood-ratio statistic of term and label (``FLOOR`` at least), counted
+over one example of each group of near copies. Examples of
+equal vectors are one entry with their numbers. Entries are sorted by their
+heaviest terms and cut into blocks; per term and block the index keeps the
+largest weight.
 
 ``score`` looks up every whole text: the bounds of all blocks follow from the
-block maxima, blocks are opened in falling order of bound, and the search ends
-when no bound reaches the k-th best similarity, so the nearest examples are
+block maxima, the blocks of highest bound are opened first, then all whose
+bound reaches the k-th best similarity found, so the nearest examples are
 exact (ties included). Votes weighted by similarity, with a weak prior, are
 calibrated by an isotonic fit to the examples' own votes without themselves.
 
 Held-out rows (crc32 of the id modulo 5 is 0) are never examples. Scores depend
 on the text alone. Null and empty texts get the score of texts without known
 terms. Null labels and labels of absent documents are ignored; repeated labels
-of a document count as their largest. Repeated rows: one result each. With no
-labels at all every score is 0. Empty table: empty result.
+of a document count as their largest. Repeated rows and ids: one result each.
+A very long text is read whole, as one vector. Only the named columns are read
+(``reject`` hands the others on), so other names can't clash. With no labels at
+all every score is 0. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, pick
+from .common import bounded_batches, pick
 
 _TERM = re.compile(r"[^\W\d_]+")
+#: Least relevance of a term.
+FLOOR = 0.0025
+#: Terms in more than one entry of so many have a row of the matrix.
+DENSE = 16
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after another."""
+    size = stop - start
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 @dataclass
 class Index:
-    """Block-max inverted index over example vectors; a few arrays, bounded by the sample."""
+    """Block-max inverted index over example vectors; a few arrays, bounded by the sample.
+
+    ``weights`` has the weight of each term. A vector is a pair of arrays, terms
+    and their weights in a unit vector. The first terms (``terms`` are numbered by
+    falling frequency) that lie in more than one entry of ``DENSE`` have their
+    postings as rows of a matrix, the others as lists.
+    """
 
     terms: dict[str, int]
-    idf: np.ndarray
+    weights: np.ndarray
     prior: float
     k: int
     pull: float
-    block: int = 64
+    block: int = 256
     known: list[float] = field(default_factory=list)
     mapped: list[float] = field(default_factory=list)
 
-    def build(self, vectors: list[dict[int, float]], counts: list[int], toxic: list[int], ids: list[list[int]]) -> None:
-        order = sorted(range(len(vectors)), key=lambda i: sorted(vectors[i].items()))
-        self.order = order
+    def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of the known terms of a text, their counts damped by the logarithm."""
+        t = np.fromiter(map(self.terms.get, tf, repeat(-1)), np.int64, len(tf))
+        c = np.fromiter(tf.values(), np.float64, len(tf))
+        by_id = np.argsort(t)[int((t < 0).sum()) :]
+        t = t[by_id]
+        w = (1 + np.log(c[by_id])) * self.weights[t]
+        return t, w / (math.sqrt(float(w @ w)) or 1.0)
+
+    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]], counts: list[int], toxic: list[int], ids: list[list[int]]) -> None:
+        def heaviest(i: int) -> tuple:
+            t, w = vectors[i]
+            top = np.lexsort((t, -w))[:4]
+            return tuple(t[top].tolist()), len(t), t.tobytes(), w.tobytes()
+
+        self.order = order = sorted(range(len(vectors)), key=heaviest)
         self.n = np.array([counts[i] for i in order], np.int64)
         self.toxic = np.array([toxic[i] for i in order], np.int64)
         self.ids = [ids[i] for i in order]
-        by_term: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for e, i in enumerate(order):
-            for t, w in vectors[i].items():
-                by_term[t].append((e, w))
-        self.entry = [np.array([e for e, _ in p], np.int64) for p in by_term]
-        self.weight = [np.array([w for _, w in p]) for p in by_term]
-        self.blocks, self.maxima, self.cuts = [], [], []
-        for e, w in zip(self.entry, self.weight):
-            b, first = np.unique(e // self.block, return_index=True)
-            self.blocks.append(b)
-            self.maxima.append(np.maximum.reduceat(w, first) if len(w) else w)
-            self.cuts.append(np.append(first, len(e)))
         self.n_blocks = -(-len(order) // self.block)
-
-    def vector(self, tf: dict[str, int]) -> dict[int, float]:
-        """Unit vector of damped term counts."""
-        v = {self.terms[t]: c * float(self.idf[self.terms[t]]) for t, c in tf.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()}
-
-    def nearest(self, v: dict[int, float], less: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and similarities of the k nearest examples, ties included. ``less``: an entry with one example less."""
-        bound = np.zeros(self.n_blocks)
-        for t, q in v.items():
-            bound[self.blocks[t]] += q * self.maxima[t]
-        got_e, got_s, have, kth = [], [], 0, 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or have >= self.k and bound[b] < kth - 1e-9:
-                break
-            sims = np.zeros(self.block)
-            for t, q in v.items():
-                at = int(np.searchsorted(self.blocks[t], b))
-                if at < len(self.blocks[t]) and self.blocks[t][at] == b:
-                    part = slice(self.cuts[t][at], self.cuts[t][at + 1])
-                    sims[self.entry[t][part] - b * self.block] += q * self.weight[t][part]
-            hit = np.flatnonzero(sims > 0)
-            got_e.append(hit + b * self.block)
-            got_s.append(sims[hit])
-            e, s = np.concatenate(got_e), np.concatenate(got_s)
-            rank = np.argsort(-s, kind="stable")
-            size = self.n[e[rank]] - (e[rank] == less)
-            total = np.cumsum(size)
-            have = int(total[-1]) if len(total) else 0
-            if have >= self.k:
-                kth = s[rank[int(np.searchsorted(total, self.k))]]
-                keep = s >= kth - 1e-9
-                got_e, got_s = [e[keep]], [s[keep]]
-        if not got_e:
-            return np.zeros(0, np.int64), np.zeros(0)
-        e, s = np.concatenate(got_e), np.concatenate(got_s)
-        rank = np.argsort(-s, kind="stable")
-        return e[rank], s[rank]
-
-    def vote(self, v: dict[int, float], less: int = -1, label: int = 0) -> float:
-        e, s = self.nearest(v, less)
+        sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)])
+        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
+        entry = np.repeat(np.arange(len(order)), sizes)
+        df = np.bincount(term, minlength=len(self.weights))
+        often = df * DENSE > len(order)
+        self.often = len(df) if often.all() else int(np.argmin(often))
+        self.dense = np.zeros((self.often, self.n_blocks * self.block))
+        dense = term < self.often
+        self.dense[term[dense], entry[dense]] = weight[dense]
+        self.dense_max = self.dense.reshape(self.often, self.n_blocks, self.block).max(axis=2) if self.n_blocks else np.zeros((self.often, 0))
+        term, entry, weight = term[~dense], entry[~dense], weight[~dense]
+        by_term = np.lexsort((entry, term))
+        term, self.entry, self.weight = term[by_term], entry[by_term], weight[by_term]
+        # A cell is a term's part of one block.
+        first = np.ones(len(term), bool)
+        first[1:] = (term[1:] != term[:-1]) | (self.entry[1:] // self.block != self.entry[:-1] // self.block)
+        at = np.flatnonzero(first)
+        self.cells = np.append(at, len(term))
+        self.cell_block = self.entry[at] // self.block
+        self.cell_max = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
+        self.of_term = np.searchsorted(term[at], np.arange(len(self.weights) + 1))
+
+    def starts(self, vectors: list[tuple[np.ndarray, np.ndarray]], at_once: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What the matrix adds to each vector's similarities and bounds, for many vectors by one product."""
+        for lo in range(0, len(vectors), at_once):
+            part = vectors[lo : lo + at_once]
+            q = np.zeros((len(part), self.often))
+            for row, (t, w) in zip(q, part):
+                many = int(np.searchsorted(t, self.often))
+                row[t[:many]] = w[:many]
+            yield from zip(q @ self.dense, q @ self.dense_max)
+
+    def nearest(self, v: tuple[np.ndarray, np.ndarray], less: int = -1, begun: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Entries and similarities of the k nearest examples, ties included, best first.
+
+        ``less`` is an entry with one example less, ``begun`` what ``starts`` gives.
+        """
+        t, q = v
+        base, dense_bound = begun or next(self.starts([v]))
+        many = int(np.searchsorted(t, self.often))
+        start, stop = self.of_term[t[many:]], self.of_term[t[many:] + 1]
+        cells, rest = _ranges(start, stop), np.repeat(q[many:], stop - start)
+        block = self.cell_block[cells]
+        bound = dense_bound + np.bincount(block, rest * self.cell_max[cells], self.n_blocks)
+        rank = np.argsort(-bound, kind="stable")
+        rank = rank[bound[rank] > 0]
+        sims, kth, some = np.zeros(len(base)), 0.0, 1
+        while len(rank):
+            opened = np.zeros(self.n_blocks, bool)
+            opened[rank[:some]] = True
+            held = opened[block]
+            own = cells[held]
+            lo, hi = self.cells[own], self.cells[own + 1]
+            at = _ranges(lo, hi)
+            found = base + np.bincount(self.entry[at], np.repeat(rest[held], hi - lo) * self.weight[at], len(base))
+            sims = np.where(np.repeat(opened, self.block), found, sims)
+            top = np.argpartition(-sims[: len(self.n)], min(self.k, len(self.n) - 1))[: self.k + 1]
+            top = top[np.argsort(-sims[top], kind="stable")]
+            total = np.cumsum(self.n[top] - (top == less))
+            kth = float(sims[top[int(np.searchsorted(total, self.k))]]) if total[-1] >= self.k else 0.0
+            rank = rank[some:]
+            rank = rank[bound[rank] >= kth - 1e-9]
+            some = len(rank)
+        e = np.flatnonzero((sims > 0) & (sims >= kth - 1e-9))
+        e = e[np.argsort(-sims[e], kind="stable")]
+        return e, sims[e]
+
+    def vote(self, v: tuple[np.ndarray, np.ndarray], less: int = -1, label: int = 0, begun=None) -> float:
+        return self.vote_of(*self.nearest(v, less, begun), less, label)
+
+    def vote_of(self, e: np.ndarray, s: np.ndarray, less: int = -1, label: int = 0) -> float:
         own = e == less
         w = s * s
         return float((w @ (self.toxic[e] - own * label) + self.pull * self.prior) / (w @ (self.n[e] - own) + self.pull))
 
-    def calibrate(self, vectors: list[dict[int, float]], most: int = 4000) -> None:
+    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], most: int = 4000) -> None:
         """Isotonic regression (pool adjacent violators) of labels on votes without the example itself.
 
         Of the entries ``most`` at even steps take part.
         """
         points: Counter = Counter()
         good: Counter = Counter()
-        for e in range(0, len(vectors), -(-len(vectors) // most) or 1):
+        taken = range(0, len(vectors), -(-len(vectors) // most) or 1)
+        for e, begun in zip(taken, self.starts([vectors[self.order[e]] for e in taken])):
             i = self.order[e]
             for label, many in ((1, int(self.toxic[e])), (0, int(self.n[e] - self.toxic[e]))):
                 if many:
-                    p = round(self.vote(vectors[i], e, label), 9)
+                    p = round(self.vote(vectors[i], e, label, begun), 9)
                     points[p] += many
                     good[p] += many * label
         pools: list[list[float]] = []
@@ -156,11 +211,6 @@ def _terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-def _damped(tf: Counter) -> dict[str, int]:
-    """Term counts as powers of two, so that texts of like counts are one entry."""
-    return {t: c.bit_length() for t, c in tf.items()}
-
-
 def _signature(terms: list[str]) -> int:
     """Least hash of the runs of three terms; near copies mostly share it."""
     import xxhash
@@ -168,15 +218,17 @@ def _signature(terms: list[str]) -> int:
     return min((xxhash.xxh32_intdigest(" ".join(x)) for x in zip(terms, terms[1:], terms[2:])), default=-1 - xxhash.xxh32_intdigest(" ".join(terms)))
 
 
-def _association(n: Column, pos: Column, df: Column, a: Column) -> Column:
-    """Root of the likelihood-ratio statistic of term and label, negative if the term is rarer with the label."""
-    total = F.lit(0.0)
+def relevance(n: int, pos: int, df: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Likelihood-ratio statistic of terms (in df texts of n, a of the pos labelled ones) and label; ``FLOOR`` at least and where a term is rarer with the label."""
+    total = np.zeros(len(df))
     for seen, row, col in ((a, df, pos), (df - a, df, n - pos), (pos - a, n - df, pos), (n - df - pos + a, n - df, n - pos)):
-        total = total + F.when(seen > 0, seen * F.log(seen * n / (row * col))).otherwise(F.lit(0.0))
-    return F.sqrt(F.greatest(2 * total, F.lit(0.0))) * F.when(a * n > df * pos, 1).otherwise(-1)
+        expected = row * (col / max(n, 1))
+        some = (seen > 0) & (expected > 0)
+        total[some] += seen[some] * np.log(seen[some] / expected[some])
+    return np.where(a * n > df * pos, np.maximum(2 * total, FLOOR), FLOOR)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_examples: int, max_terms: int, least: float, k: int, pull: float) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_examples: int, k: int, pull: float) -> Index:
     """The index of a bounded sample of labelled rows."""
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     usable = named.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -190,64 +242,66 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
             names, tfs, signs = [], [], []
             for t in b.column("text").to_pylist():
                 terms = _terms(t)
-                tf = _damped(Counter(terms))
-                names.append(list(tf))
-                tfs.append(list(tf.values()))
+                tf = sorted(Counter(terms).items())
+                names.append([x for x, _ in tf])
+                tfs.append([c for _, c in tf])
                 signs.append(_signature(terms))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(signs, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32()))], ["doc_id", "toxic", "sign", "terms", "tf"])
 
-    held = materialise(texts.select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic int, sign long, terms array<string>, tf array<int>"), "examples")
+    counted = texts.select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic int, sign long, terms array<string>, tf array<int>")
+    # Copies are one entry; a repeated id counts as often as it has rows.
+    entries = counted.groupBy("terms", "tf").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min_by("toxic", "doc_id").alias("one"), F.first("sign").alias("sign"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("ids"))
+    rows = entries.collect()  # of the sample alone
+    rows.sort(key=lambda r: (r.ids[0], r.terms, r.tf))
     # Near copies would make any word of theirs look telling, so terms are judged on one example of each group.
-    single = held.groupBy("sign").agg(F.min_by("doc_id", F.struct("doc_id")).alias("doc_id"))
-    single = held.join(single.select("doc_id"), "doc_id", "left_semi")
-    n, pos = (int(x or 0) for x in single.agg(F.count("*"), F.sum("toxic")).first())
-    df = single.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").cast("long").alias("a")).where(F.col("df") >= 3)
-    z = _association(F.lit(float(n)), F.lit(float(pos)), F.col("df").cast("double"), F.col("a").cast("double"))
-    best = df.withColumn("z", z).where(F.col("z") >= least).orderBy(F.desc("z"), "term").limit(max_terms).collect()
-    terms = {r.term: i for i, r in enumerate(best)}
-    idf = np.array([math.log((1 + n) / (1 + r.df)) + 1 for r in best])
-    index = Index(terms, idf, 0.0, k, pull)
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [",".join(f"{t}:{c}" for t, c in sorted(zip(ts, cs)) if t in terms) for ts, cs in zip(b.column("terms").to_pylist(), b.column("tf").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(keys, pa.string())], ["doc_id", "toxic", "key"])
-
-    rows = held.mapInArrow(known, "doc_id long, toxic int, key string").groupBy("key").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("ids")).collect()
-    rows.sort(key=lambda r: r.key)
+    single = list({r.sign: r for r in reversed(rows)}.values())
+    df: dict[str, int] = defaultdict(int)
+    a: dict[str, int] = defaultdict(int)
+    for r in single:
+        for t in r.terms:
+            df[t] += 1
+            if r.one:
+                a[t] += 1
+    seen = Counter(t for r in rows for t in r.terms)
+    terms = {t: i for i, t in enumerate(sorted(seen, key=lambda t: (-seen[t], t)))}
+    dfs = np.array([max(df[t], 1) for t in terms], np.float64)
+    n, pos = len(single), sum(1 for r in single if r.one)
+    weights = (np.log((1 + n) / (1 + dfs)) + 1) * relevance(n, pos, dfs, np.array([a.get(t, 0) for t in terms], np.float64))
     examples = sum(r.n for r in rows)
-    index.prior = sum(int(r.toxic) for r in rows) / examples if examples else 0.0
-    vectors = [index.vector({t: int(c) for t, c in (x.split(":") for x in r.key.split(",") if x)}) for r in rows]
+    index = Index(terms, weights, sum(int(r.toxic) for r in rows) / examples if examples else 0.0, k, pull)
+    vectors = [index.vector(dict(zip(r.terms, r.tf))) for r in rows]
     index.build(vectors, [r.n for r in rows], [int(r.toxic) for r in rows], [list(r.ids) for r in rows])
     index.calibrate(vectors)
     return index
 
 
 class Judge:
-    """Score, evidence and known terms of a text; remembers texts of equal term counts."""
+    """Score, evidence and heaviest terms of a text; remembers a bounded number of texts by their hash."""
 
     def __init__(self, index: Index):
         self.index, self.seen = index, {}
-
-    def __call__(self, text: str) -> tuple[float, str, str]:
-        ix = self.index
-        tf = _damped(Counter([t for t in _terms(text) if t in ix.terms]))
-        key = tuple(sorted(tf.items()))
-        if key not in self.seen:
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            v = ix.vector(tf) if tf else {}
-            e, s = ix.nearest(v)
+        self.names = list(index.terms)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[float, str, str]]:
+        import xxhash
+
+        ix, texts = self.index, [t or "" for t in texts]
+        keys = [xxhash.xxh3_128_digest(t) for t in texts]
+        if len(self.seen) > 20_000:
+            self.seen.clear()
+        new = {k: t for k, t in zip(keys, texts) if k not in self.seen}
+        vectors = [ix.vector(Counter(_terms(t))) for t in new.values()]
+        for key, v, begun in zip(new, vectors, ix.starts(vectors)):
+            e, s = ix.nearest(v, begun=begun)
             evidence = ";".join(f"{i}:{x:.3f}" for j, x in zip(e[:5].tolist(), s[:5].tolist()) for i in ix.ids[j][:1])
-            self.seen[key] = ix.score(ix.vote(v)), evidence, ",".join(tf)
-        return self.seen[key]
+            heavy = v[0][np.argsort(-v[1], kind="stable")[:5]].tolist()
+            self.seen[key] = ix.score(ix.vote_of(e, s)), evidence, ",".join(self.names[t] for t in heavy)
+        return [self.seen[k] for k in keys]
 
 
-#: Of the labelled sample at most ``max_examples`` rows are used, and at most
-#: ``max_terms`` terms; ``least`` is the root of the likelihood-ratio statistic
-#: from which a term is used, ``k`` the number of nearest examples and ``pull``
-#: the weight of the prior among their votes.
-DEFAULTS = {"max_examples": 20_000, "max_terms": 1_000, "least": 5.0, "k": 25, "pull": 0.5}
+#: Of the labelled sample at most ``max_examples`` rows are used; ``k`` is the
+#: number of nearest examples and ``pull`` the weight of the prior among their votes.
+DEFAULTS = {"max_examples": 4_000, "k": 25, "pull": 0.5}
 
 
 def score(
@@ -259,7 +313,7 @@ def score(
     label_col: str = "toxic",
     **fitting,
 ) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (nearest examples with similarity), terms. ``fitting``: see DEFAULTS."""
+    """doc_id, held_out, score, predicted, evidence (nearest examples with similarity), terms (the heaviest). ``fitting``: see DEFAULTS."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **(DEFAULTS | fitting)))
@@ -268,7 +322,7 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for b in batches:
-            found = [judge(t) for t in b.column("text").to_pylist()]
+            found = judge(b.column("text").to_pylist())
             scores = [p for p, _, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(p >= 0.5) for p in scores], pa.int32()), *(pa.array([x[i] for x in found], pa.string()) for i in (1, 2))],
@@ -287,6 +341,6 @@ def reject(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for b in batches:
-            yield b.filter(pa.array([judge(t or "")[0] < threshold for t in b.column(text_col).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([p < threshold for p, _, _ in judge(b.column(text_col).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from texts import ODD, frame
@@ -54,24 +55,80 @@ def test_no_labels_and_no_rows(spark):
 
 def test_block_max_search_is_exact():
     r = random.Random(4)
-    terms = {f"t{i}": i for i in range(40)}
-    ix = toxicity.Index(terms, np.array([1 + r.random() for _ in terms]), 0.2, 7, 0.5, block=4)
     tfs = {tuple(sorted({f"t{int(r.paretovariate(0.7)) % 40}": r.randint(1, 5) for _ in range(r.randint(1, 6))}.items())) for _ in range(300)}
+    df = Counter(t for x in tfs for t, _ in x)
+    terms = {t: i for i, (t, _) in enumerate(df.most_common())}
+    ix = toxicity.Index(terms, np.array([1 + r.random() for _ in terms]), 0.2, 7, 0.5, block=4)
     vectors = [ix.vector(dict(t)) for t in sorted(tfs)]
     counts = [r.randint(1, 3) for _ in vectors]
     ix.build(vectors, counts, [r.randint(0, c) for c in counts], [[i] for i in range(len(vectors))])
     order = ix.order
-    for q in vectors[:80]:
-        sims = np.array([sum(w * vectors[i].get(t, 0.0) for t, w in q.items()) for i in order])
-        size = np.array([counts[i] for i in order])
+    assert 0 < ix.often < len(terms) and ix.n_blocks > 20
+    plain = [dict(zip(t.tolist(), w.tolist())) for t, w in vectors]
+    size = np.array([counts[i] for i in order])
+    for k, q in enumerate(plain[:120]):
+        sims = np.array([sum(w * plain[i].get(t, 0.0) for t, w in q.items()) for i in order])
+        less = order.index(k) if k % 2 else -1
         rank = np.argsort(-sims, kind="stable")
-        at = min(int(np.searchsorted(np.cumsum(size[rank]), 7)), len(rank) - 1)
+        at = min(int(np.searchsorted(np.cumsum(size[rank] - (rank == less)), 7)), len(rank) - 1)
         want = {i for i in range(len(sims)) if sims[i] > 0 and sims[i] >= sims[rank[at]] - 1e-9}
-        e, s = ix.nearest(q)
+        e, s = ix.nearest(vectors[k], less)
         assert set(e.tolist()) == want
         assert np.allclose(s, sims[e])
 
 
+def plain_scores(texts, toxic, ids, k=25, pull=0.5):
+    """Scores by the docstring's words alone: all pairs, dictionaries, no index."""
+    import re
+
+    count = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    tfs, used = [count(t) for t in texts], [i for i in ids if not held(i)]
+    n, pos = len(used), sum(toxic[i] for i in used)
+    df, a = Counter(), Counter()
+    for i in used:
+        df.update(tfs[i].keys())
+        a.update(tfs[i].keys() if toxic[i] else ())
+
+    def weight(t):
+        g = 0.0
+        for seen, row, col in ((a[t], df[t], pos), (df[t] - a[t], df[t], n - pos), (pos - a[t], n - df[t], pos), (n - df[t] - pos + a[t], n - df[t], n - pos)):
+            g += seen * math.log(seen * n / (row * col)) if seen else 0.0
+        return (math.log((1 + n) / (1 + df[t])) + 1) * (max(2 * g, toxicity.FLOOR) if a[t] * n > df[t] * pos else toxicity.FLOOR)
+
+    weights = {t: weight(t) for t in df}
+
+    def unit(tf):
+        v = {t: (1 + math.log(c)) * weights[t] for t, c in tf.items() if t in weights}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors, prior = [unit(tf) for tf in tfs], pos / n
+
+    def vote(i):
+        sims = sorted(((sum(x * vectors[j].get(t, 0.0) for t, x in vectors[i].items()), toxic[j]) for j in used if j != i), reverse=True)
+        edge = sims[k - 1][0] - 1e-9
+        near = [(s * s, y) for s, y in sims if s > 0 and s >= edge]
+        return (sum(s * y for s, y in near) + pull * prior) / (sum(s for s, _ in near) + pull)
+
+    return [vote(i) for i in range(len(texts))]
+
+
+def test_votes_equal_a_plain_version(spark):
+    texts, toxic = corpus(300, 5)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    ix = toxicity.fit(frame(spark, texts), labels, id_col="doc_id", text_col="text", label_col="toxic", **toxicity.DEFAULTS)
+    want = plain_scores(texts, toxic, range(len(texts)))
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), labels).collect()}
+    points = sorted(ix.vote(ix.vector(Counter(toxicity._terms(t))), e, toxic[i]) for e, i in ((e, ix.ids[e][0]) for e in range(len(ix.ids))) for t in [texts[i]])
+    assert np.allclose(points, sorted(want[i] for i in range(len(texts)) if not held(i)))
+    for i in [i for i in range(len(texts)) if held(i)]:
+        assert math.isclose(got[i], ix.score(want[i]), abs_tol=1e-6), i
+    # The calibration is the isotonic fit of labels to votes: monotone, and right on average.
+    mapped = [float(np.interp(p, ix.known, ix.mapped)) for p in points]
+    assert mapped == sorted(mapped)
+    assert abs(np.mean(mapped) - ix.prior) < 0.02
+
+
 def test_calibration_is_monotone():
     ix = toxicity.Index({}, np.zeros(0), 0.3, 5, 0.5)
     ix.known, ix.mapped = [0.1, 0.4, 0.6], [0.05, 0.05, 0.9]
