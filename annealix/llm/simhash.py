@@ -242,8 +242,9 @@ def similar_texts(texts: DataFrame, *, words: int = 5, similarity: float = 0.8,
     placed = materialise(sigs.join(parts, "tk", "left").withColumn("part", F.coalesce("part", "tk")), "sample-parts")
     torn = placed.groupBy("k", "fp").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
     apart = materialise(placed.join(torn, ["k", "fp"], "left_semi").select("tk", "part").distinct(), "texts-apart")
-    pairs = materialise(_across(apart, texts, words, similarity, rare), "candidate-pairs")
-    return first.unionByName(materialise(_verified(pairs, texts, words, similarity), "similar-pairs"))
+    found, linked = _across(apart, texts, words, similarity, rare)
+    more = materialise(_verified(materialise(found, "candidate-pairs"), texts, words, similarity), "similar-pairs")
+    return first.unionByName(more).unionByName(materialise(linked, "class-links"))
 
 
 def _shingles(texts: DataFrame, words: int) -> DataFrame:
@@ -261,8 +262,8 @@ def _shingles(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("tk", "text").mapInArrow(run, "tk long, n long, h long")
 
 
-def _across(apart: DataFrame, texts: DataFrame, words: int, similarity: float, rare: int) -> DataFrame:
-    """a, b: candidates that join all components (part) of texts (tk) with a like pair between them. No list is cut.
+def _across(apart: DataFrame, texts: DataFrame, words: int, similarity: float, rare: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables a, b, candidates and links, that join all components (part) of texts (tk) with a like pair between them. No list is cut.
 
     Shingles are ordered by the number of texts that have them, those of one
     component alone first. Two like texts of different components share one
@@ -274,7 +275,8 @@ def _across(apart: DataFrame, texts: DataFrame, words: int, similarity: float, r
     like it is to each of its class or of another, so if two texts are alike,
     so are each of them and the text of the fewest others in the other's class.
     Only that text of a class need be a candidate, and the joins on frequent
-    shingles are between classes.
+    shingles are between classes; what the classes share is what the texts share,
+    so links are told without reading texts again.
     """
     rows = with_texts(texts, apart.select("tk")).select("tk", "text")
     held = _shingles(rows, words).join(apart, "tk")
@@ -302,15 +304,28 @@ def _across(apart: DataFrame, texts: DataFrame, words: int, similarity: float, r
     classes = materialise(classes.select("cls", "f", F.col("best.r").alias("r"), F.col("best.tk").alias("tk"), "best.part", "low", "high"), "shingle-classes")
     # Which classes meet, each with itself included; u is at least the greater f, what is shared at most the lesser.
     room = lambda r, q: F.least("f_a", "f_b") / similarity - F.greatest("f_a", "f_b") - F.col(r) - F.col(q) >= -1e-6
-    keyed = first.where(frequent).select("tk", "h").join(classes, "tk").select("h", "cls", "f", "r", "low", "high")
-    sides = [keyed.toDF("h", *[f"{c}_{x}" for c in ("cls", "f", "r", "low", "high")]) for x in "ab"]
+    # A pair is made at its first shared shingle alone, and only if what comes behind it on both sides is enough.
+    heads = first.where(frequent).join(classes, "tk").withColumn("at", F.col("place") - (F.col("n_live") - F.col("f")))
+    heads = heads.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("place", "h"))).alias("hs"), F.collect_list(F.struct("h", "at")).alias("each"), *[F.first(c).alias(c) for c in ("f", "r", "low", "high")])
+    keyed = heads.select(F.transform("hs", lambda x: x["h"]).alias("hs"), F.explode("each").alias("e"), "cls", "f", "r", "low", "high").select("e.h", "e.at", "hs", "cls", "f", "r", "low", "high")
+    sides = [keyed.toDF("h", *[f"{c}_{x}" for c in ("at", "hs", "cls", "f", "r", "low", "high")]) for x in "ab"]
+    behind = 1 + F.least(F.col("f_a") - F.col("at_a"), F.col("f_b") - F.col("at_b")) >= similarity / (1 + similarity) * (F.col("f_a") + F.col("r_a") + F.col("f_b") + F.col("r_b")) - 1e-6
+    once = F.get(F.array_intersect("hs_a", "hs_b"), F.lit(0)) == F.col("h")
     mixed = (F.least("low_a", "low_b") < F.greatest("high_a", "high_b")) & (F.col("cls_a") != F.col("cls_b"))
-    meet = sides[0].join(sides[1], "h").where(mixed & room("r_a", "r_b")).select("cls_a", "cls_b").distinct()
+    meet = sides[0].join(sides[1], "h").where(mixed & room("r_a", "r_b") & behind & once).select("cls_a", "cls_b")
     meet = meet.unionByName(classes.where("low < high").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b")))
-    best = classes.select(F.col("cls").alias("cls_b"), F.col("tk").alias("b"), F.col("part").alias("part_b"), F.col("f").alias("f_b"), F.col("r").alias("r_b"))
-    each = members.select(F.col("cls").alias("cls_a"), F.col("tk").alias("a"), F.col("part").alias("part_a"), F.col("f").alias("f_a"), F.col("r").alias("r_a"))
-    led = each.join(materialise(meet, "class-pairs").join(best, "cls_b"), "cls_a").where((F.col("part_a") != F.col("part_b")) & room("r_a", "r_b"))
-    return found.unionByName(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    # What two such texts share are the shingles their classes share, so the similarity follows without the texts.
+    shared = materialise(held.where(frequent).join(classes.select("tk", "cls"), "tk").groupBy("cls").agg(F.collect_list("h").alias("fs")), "class-shingles")
+    both = materialise(meet, "class-pairs").join(shared.toDF("cls_a", "fs_a"), "cls_a").join(shared.toDF("cls_b", "fs_b"), "cls_b")
+    both = both.select("cls_a", "cls_b", F.size(F.array_intersect("fs_a", "fs_b")).alias("both"))
+    best = classes.select(F.col("cls").alias("cls_b"), F.col("tk").alias("b"), F.col("part").alias("part_b"), (F.col("f") + F.col("r")).alias("n_b"))
+    # A class pair is of use only if the texts of fewest others are alike.
+    sizes = classes.select(F.col("cls").alias("cls_a"), (F.col("f") + F.col("r")).alias("n_a"))
+    alike = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")) >= similarity
+    both = both.join(sizes, "cls_a").join(best, "cls_b").where(alike).drop("n_a")
+    each = members.select(F.col("cls").alias("cls_a"), F.col("tk").alias("a"), F.col("part").alias("part_a"), (F.col("f") + F.col("r")).alias("n_a"))
+    led = each.join(materialise(both, "class-links"), "cls_a").where((F.col("part_a") != F.col("part_b")) & alike)
+    return found, led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
