@@ -84,10 +84,12 @@ def encode_documents(
     short = base.where(F.length("text") <= chunk).mapInArrow(whole, schema)
 
     # Longer texts: (row, chunk) rows, spread over tasks by both.
-    n = F.length("text")
-    long = base.where(n > chunk).withColumn("rid", F.monotonically_increasing_id())
+    # A pattern cuts a text in one pass; a substring by position would read it from the start for every chunk.
+    cut_up = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    long = base.where(F.length("text") > chunk).select("doc_id", F.monotonically_increasing_id().alias("rid"), cut_up.alias("cut"))
+    behind = lambda i: F.left(F.coalesce(F.get("cut", i + 1), F.lit("")), F.lit(overlap))
     chunks = long.select(
-        "doc_id", "rid", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(n / chunk).cast("int") - 1), lambda i: F.substring("text", i * chunk + 1, F.lit(chunk + overlap)))).alias("i", "text")
+        "doc_id", "rid", F.posexplode(F.transform("cut", lambda own, i: F.concat(own, behind(i)))).alias("i", "text")
     ).repartition("rid", "i")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

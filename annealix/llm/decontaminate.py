@@ -18,13 +18,16 @@ Windows that share too few shingles with all items of their length together to
 reach the threshold with any of them are passed over before they are hashed;
 that bound is exact.
 
-Items are taken in blocks of at most ``block_bytes`` of text; each block's
-index is broadcast and documents are read once per block. Nothing else grows
-with either table.
+Items are taken in blocks of about ``block_bytes`` of text. Blocks are treated
+one after another: a block's index is built, broadcast, used on all documents
+and freed before the next one is built. Nothing else grows with either table.
 
 Null or empty text on either side: no match. An item with fewer words than a
 shingle is one shingle. Repeated items count once; repeated documents give one
-result each. Null ids stay. Empty tables: empty result.
+result each; of windows equally alike the first is reported. Null ids stay. A
+very long text is read whole by one task. Only the named columns are read
+(``drop_leaks`` hands the others on), so other names can't clash. Empty tables:
+empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pick
+from .common import bounded_batches, materialise, pick
 from .hashing import shingle, simhash, word_hashes
 
 _NEAR = {r: np.array([v for v in range(256) if v.bit_count() <= r]) for r in (2, 3)}
@@ -200,8 +203,13 @@ def find_leaks(
     """doc_id, item_id, similarity, first_word, n_words: the best window of each document and item."""
     base = pick(docs, id_col, text_col)
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
-    indexes = _indexes(docs.sparkSession, benchmark, item_col, item_text_col, words, threshold, block_bytes)
-    return reduce(DataFrame.unionByName, [base.mapInArrow(_scan(shared), schema) for shared in indexes])
+    found = []
+    for shared, last in _indexes(docs.sparkSession, benchmark, item_col, item_text_col, words, threshold, block_bytes):
+        found.append(base.mapInArrow(_scan(shared), schema))
+        if not last:
+            found[-1] = materialise(found[-1], "leaks")
+            shared.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def drop_leaks(
@@ -216,22 +224,23 @@ def drop_leaks(
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """The rows of docs, with all their columns, without any window like an item. Nothing is shuffled."""
-    for shared in _indexes(docs.sparkSession, benchmark, item_col, item_text_col, words, threshold, block_bytes):
+    for shared, last in _indexes(docs.sparkSession, benchmark, item_col, item_text_col, words, threshold, block_bytes):
         docs = docs.mapInArrow(_keep(shared, text_col), docs.schema)
+        if not last:
+            docs = materialise(docs, "not-leaked")
+            shared.destroy()
     return docs
 
 
-def _indexes(spark, benchmark: DataFrame, item_col: str, item_text_col: str, words: int, threshold: float, block_bytes: int) -> list:
-    """Broadcast indexes of blocks of items."""
+def _indexes(spark, benchmark: DataFrame, item_col: str, item_text_col: str, words: int, threshold: float, block_bytes: int) -> Iterator[tuple]:
+    """Broadcast indexes of blocks of items, each made when it is asked for, and whether it is the last."""
     bounded_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
     total = int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     blocks = max(1, -(-total // block_bytes))
-    out = []
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        out.append(spark.sparkContext.broadcast(build_index(sorted(map(tuple, rows), key=str), words, threshold)))
-    return out
+        yield spark.sparkContext.broadcast(build_index(sorted(map(tuple, rows), key=str), words, threshold)), block == blocks - 1
 
 
 def _found(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, dict[int, tuple[float, int, int]]]]:
