@@ -50,6 +50,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-S", type=_yes, default=False, help="summary by assay")
     p.add_argument("--dump-query", type=_yes, default=False, help="write the expanded assays")
     p.add_argument("--best-match", action="store_true")
+    p.add_argument("--blast-include", action="append", metavar="ID", help="search only targets of this accession; may be repeated")
+    p.add_argument("--blast-exclude", action="append", metavar="ID", help="leave out targets of this accession; may be repeated")
     for flag, (name, kind) in OPTIONS.items():
         p.add_argument(flag, dest=name, type=kind)
     return p
@@ -66,6 +68,10 @@ def main(argv: list[str] | None = None) -> None:
     there = assays.agg(*[F.coalesce(F.bool_or(F.col(c).isNotNull()), F.lit(False)) for c in ("forward", "probe")]).first()
     cfg = cfg.with_thresholds(*there)
     targets = readers.read_targets(spark, args.d)
+    if args.blast_include or args.blast_exclude:
+        listed = [spark.createDataFrame([(x,) for x in ids], "id string") if ids else None for ids in (args.blast_include, args.blast_exclude)]
+        keyed = targets.withColumn("accession", F.coalesce("accession", F.regexp_extract("defline", r"^(\S+)", 1)) if "accession" in targets.columns else F.regexp_extract("defline", r"^(\S+)", 1))
+        targets = results.select_targets(keyed.withColumn("taxid", F.lit(None).cast("long")), *listed, strict=True).drop("taxid")
     variants = expand_assays(assays, cfg)
     if args.dump_query:
         writers.write_variants(variants, f"{args.o}/assays")

@@ -84,12 +84,16 @@ def annotation_overlap(matches: DataFrame, features: DataFrame, width: int = 200
     """Matches (target_id, start, stop) with every feature (target_id, f_start, f_stop) they touch.
 
     Both sides are placed in all buckets they reach; a pair is kept in the first
-    bucket both have, so it appears once.
+    bucket both have, so it appears once. A feature that starts behind its stop
+    (one across the origin) is touched by matches that hold both its ends; such
+    a match reaches the bucket of the start, where the feature is placed.
     """
-    m = matches.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("stop") / width))))
-    f = features.where("f_start <= f_stop").withColumn("_b", F.explode(F.sequence(F.floor(F.col("f_start") / width), F.floor(F.col("f_stop") / width))))
+    bucket = lambda c: F.floor(F.col(c) / width)
+    plain = F.col("f_start") <= F.col("f_stop")
+    m = matches.withColumn("_b", F.explode(F.sequence(bucket("start"), bucket("stop"))))
+    f = features.withColumn("_b", F.explode(F.when(plain, F.sequence(bucket("f_start"), bucket("f_stop"))).otherwise(F.array(bucket("f_start")))))
     touch = (F.col("f_start") <= F.col("stop")) & (F.col("f_stop") >= F.col("start"))
-    once = F.col("_b") == F.greatest(F.floor(F.col("start") / width), F.floor(F.col("f_start") / width))
+    once = F.col("_b") == F.when(plain, F.greatest(bucket("start"), bucket("f_start"))).otherwise(bucket("f_start"))
     return m.join(f, ["target_id", "_b"]).where(touch & once).drop("_b")
 
 

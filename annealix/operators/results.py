@@ -77,11 +77,23 @@ def unmatched_assays(assays: DataFrame, matches: DataFrame) -> DataFrame:
     return assays.select("name").distinct().join(matches.select("name"), "name", "left_anti")
 
 
-def select_targets(targets: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+def absent_ids(targets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The listed ids (column ``id``) that no target has as its accession or taxid."""
+    there = targets.select(F.col("accession").alias("id")).unionByName(targets.select(F.col("taxid").cast("string").alias("id")))
+    return ids.select("id").distinct().join(there, "id", "left_anti")
+
+
+def select_targets(targets: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None, *, strict: bool = False) -> DataFrame:
     """Targets whose accession or taxid is listed in ``include`` (all if none) and in no row of ``exclude``.
 
-    A list has one string column ``id``; digits alone name a taxid.
+    A list has one string column ``id``; digits alone name a taxid. With
+    ``strict`` an id that no target has is an error.
     """
+    for ids in (include, exclude) if strict else ():
+        lost = [] if ids is None else [r.id for r in absent_ids(targets, ids).orderBy("id").limit(5).collect()]
+        if lost:
+            raise ValueError(f"no target has the ids {', '.join(lost)}")
+
     def listed(ids: DataFrame, how: str, rows: DataFrame) -> DataFrame:
         digits = F.col("id").rlike("^[0-9]+$")
         tax = ids.where(digits).select(F.col("id").alias("_id")).distinct()

@@ -1,8 +1,10 @@
 """Fragments of targets and the k-mer equi-join that proposes binding sites.
 
-Targets are exploded to (chunk, position, k-mer) rows in place; oligo k-mers
-are few, and Spark broadcasts them where their size allows. Hits are reduced to
-diagonals at once, so low-complexity k-mers don't travel further.
+Targets are exploded to (chunk, position, k-mer) rows in place. The k-mers of
+oligos are counted and broadcast up to ``BROADCAST_KMERS``, otherwise both sides
+are shuffled; the targets' side, which grows with the data, is never broadcast.
+Hits are reduced to diagonals at once, so low-complexity k-mers don't travel
+further.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.bases import revcomp
 
 FLANK = 4
+#: Most k-mers of oligos that are broadcast (about 100 bytes each).
+BROADCAST_KMERS = 500_000
 
 
 def fragments(targets: DataFrame, max_len: int, overlap: int = 0) -> DataFrame:
@@ -55,6 +59,8 @@ def seed_hits(oligos: DataFrame, targets: DataFrame, k: int = 7, seq: str = "seq
     both = F.array(F.struct(F.lit("-").alias("strand"), F.col("oligo").alias("read")), F.struct(F.lit("+").alias("strand"), revcomp(F.col("oligo")).alias("read")))
     reads = oligos.select("oligo").distinct().select("oligo", F.explode(both).alias("r")).select("oligo", "r.*")
     query = kmers(reads, F.col("read"), k, "q", "oligo", "strand")
+    few = query.limit(BROADCAST_KMERS + 1).count() <= BROADCAST_KMERS
+    query = F.broadcast(query) if few else query.hint("merge")
     return kmers(targets, F.col(seq), k, "t", "target_id").join(query, "kmer").select("oligo", "strand", "target_id", "q", "t")
 
 
@@ -71,6 +77,14 @@ def windows(diags: DataFrame, targets: DataFrame, seq: str = "seq") -> DataFrame
     return joined.withColumn("start", start).withColumn("stop", stop).select("oligo", "strand", "target_id", "diagonal", "start", "stop", F.substring(F.col(seq), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("window"))
 
 
+def pieces(targets: DataFrame, width: int, beyond: int) -> DataFrame:
+    """target_id, piece, text: the bases from piece * width on, ``width`` and ``beyond`` more of them."""
+    cut = targets.select("target_id", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0)).alias("cut"))
+    more = -(-beyond // width)
+    text = lambda own, i: F.concat(own, F.left(F.array_join(F.slice("cut", i + 2, more), ""), F.lit(beyond)))
+    return cut.select("target_id", F.posexplode(F.transform("cut", text)).alias("piece", "text"))
+
+
 def exact_bindings(oligos: DataFrame, targets: DataFrame, k: int = 7) -> DataFrame:
     """oligo, strand, target_id, loc_5, loc_3 of perfect sites, found by their seeds and verified."""
     win = diagonals(seed_hits(oligos, targets, k)).join(targets.select("target_id", "seq"), "target_id")

@@ -3,6 +3,11 @@
 Targets are cut into chunks that overlap by an oligo and its flanks. A binding
 belongs to the chunk that owns its least coordinate, so each is found once
 whatever the size of chunks; pairs are then joined in target coordinates.
+
+Seeds of primers that no seed of the other strand can make a pair with are left
+out before anything is aligned. Bindings are computed once and written to the
+shared folder, as several joins read them. Matched bases are taken from pieces
+of the targets, so a long target is spread over tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from ..operators import assays as qa
 from ..operators import bindings as bi
 from ..operators import joins, masking, results, seeds
 from .config import SearchConfig
+from .scratch import written
 
 LONGEST_OLIGO = 1024
 CHUNK = 20_000
@@ -53,6 +59,8 @@ def find_bindings(variants: DataFrame, targets: DataFrame, cfg: SearchConfig) ->
     chunks = seeds.fragments(targets, min(cfg.max_target_len, CHUNK), longest + 2 * seeds.FLANK + 8)
     rows = chunks.select(F.struct("target_id", "chunk_id").alias("target_id"), "chunk", "offset", F.col("start").alias("own_start"), F.col("stop").alias("own_stop"), "is_first", "is_last")
     hits = seeds.diagonals(seeds.seed_hits(oligos, rows, cfg.word_length, "chunk"))
+    if cfg.assay == "PCR":
+        hits = _paired_seeds(hits, rows, oligos, cfg.max_len, longest)
     win = seeds.windows(hits, rows, "chunk")
     if cfg.target_strand != "both":
         win = win.where(F.col("strand") == ("+" if cfg.target_strand == "plus" else "-"))
@@ -77,6 +85,18 @@ def find_bindings(variants: DataFrame, targets: DataFrame, cfg: SearchConfig) ->
     return bi.within(out.where(~probe), **primers, **common).unionByName(bi.within(out.where(probe), **probes, **common))
 
 
+def _paired_seeds(hits: DataFrame, rows: DataFrame, oligos: DataFrame, max_len: int, longest: int) -> DataFrame:
+    """The diagonals of probes, and those of primers that can be part of a pair. Alignments may shift a site by the flanks."""
+    room = longest + 4 * seeds.FLANK + 16
+    uses = oligos.select("oligo", "assay_id", F.col("role")).distinct()
+    placed = hits.join(rows.select("target_id", "offset"), "target_id").join(uses, "oligo")
+    t = F.col("t") + F.col("offset") + F.when(F.col("strand") == "+", F.lit(room)).otherwise(F.lit(0))
+    placed = placed.select("oligo", "strand", F.col("target_id").alias("chunk"), "diagonal", "assay_id", F.col("target_id.target_id").alias("target_id"), "role", t.alias("t"))
+    primers = seeds.cull(placed, max_len + room, room)
+    kept = primers.unionByName(placed.where("role = 'P'")).select("oligo", "strand", F.col("chunk").alias("target_id"), "diagonal").distinct()
+    return hits.join(kept, ["oligo", "strand", "target_id", "diagonal"], "left_semi")
+
+
 _PER_SITE = ("oligo", "tm", "dh", "ds", "dg", "num_mm", "num_gap", "anchor_5", "anchor_3", "bound_5", "bound_3", "alignment")
 
 
@@ -86,13 +106,17 @@ def search(assays: DataFrame, targets: DataFrame, cfg: SearchConfig = SearchConf
     variants = expand_assays(assays, cfg)
     if cfg.assay in ("PROBE", "AFFYMETRIX"):
         variants = variants.where(F.col("forward").isNull())
-    sites = find_bindings(variants, targets, cfg).drop("ct", "degen")
+    sites = written(find_bindings(variants, targets, cfg).drop("ct", "degen"), "sites")
     names = variants.select("degen_id", "name")
-    seqs = targets.select("target_id", "defline", "seq")
+    deflines = targets.select("target_id", "defline")
+    # A match is at most max_len long, or three oligos and a gap.
+    pieces = seeds.pieces(targets, CHUNK, cfg.max_len + 3 * LONGEST_OLIGO)
 
     def finish(rows: DataFrame, forward: Column) -> DataFrame:
-        out = rows.join(names, "degen_id").join(seqs, "target_id")
-        return out.withColumn("sequence", joins.site_text(F.col("seq"), F.col("start"), F.col("stop"), forward)).drop("seq")
+        piece = F.floor(F.greatest(F.col("start"), F.lit(0)) / CHUNK).cast("int")
+        out = rows.join(names, "degen_id").join(deflines, "target_id").withColumn("piece", piece).join(pieces, ["target_id", "piece"])
+        first = F.col("piece").cast("long") * CHUNK
+        return out.withColumn("sequence", joins.site_text(F.col("text"), F.col("start") - first, F.col("stop") - first, forward)).drop("piece", "text")
 
     alone = variants.where(F.col("forward").isNull()).select("degen_id")
     probes = sites.where("role = 'P'").join(alone, "degen_id", "left_semi").withColumnsRenamed({c: f"p_{c}" for c in _PER_SITE}).withColumn("start", F.col("loc_5")).withColumn("stop", F.col("loc_3"))
