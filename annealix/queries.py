@@ -12,6 +12,8 @@ from .functions import bases, duplex
 from .operators import assays, bindings, joins, masking, results, seeds
 from .plans import search
 from .plans.config import SearchConfig
+from .plans.scratch import shared_path
+from .sources import readers, writers
 
 # SQL shared by the queries: targets t, assays a, oligos o, perfect sites b, amplicons m.
 _RC = lambda s: f"reverse(translate({s}, '{bases.COMPLEMENT_FROM}', '{bases.COMPLEMENT_TO}'))"
@@ -332,6 +334,139 @@ def _(spark, d):
     return a.select("assay_id", "target_id", "start", "stop", masking.mask_primers(s, F.lit(6), F.lit(6)).alias("masked"), masking.replace_ends(s, F.lit("NNNNNN"), F.lit("")).alias("replaced"))
 
 
+@register("annotation_origin", f"WITH {_FEAT}, w AS (SELECT target_id, feature, CASE WHEN feature % 2 = 0 THEN f_stop ELSE f_start END AS f_start, CASE WHEN feature % 2 = 0 THEN f_start ELSE f_stop END AS f_stop FROM f) SELECT s.*, feature, f_start, f_stop FROM s JOIN w ON s.target_id = w.target_id AND f_start <= stop AND f_stop >= start")
+def _(spark, d):
+    """Every second feature starts behind its stop, as one across the origin of a circle does."""
+    swap = F.col("feature") % 2 == 0
+    f = demo.features(spark, d).select("target_id", "feature", F.when(swap, F.col("f_stop")).otherwise(F.col("f_start")).alias("f_start"), F.when(swap, F.col("f_start")).otherwise(F.col("f_stop")).alias("f_stop"))
+    return joins.annotation_overlap(demo.spans(spark, d), f)
+
+
+# Files: written from the targets in each format, then read back.
+
+
+def _filed(rows: DataFrame, name: str, *, gzip: bool = False) -> str:
+    path = shared_path(rows.sparkSession, name)
+    rows.write.option("compression", "gzip" if gzip else "none").text(path)
+    return path
+
+
+def _name() -> F.Column:
+    return F.concat(F.col("target_id").cast("string"), F.lit(" "), F.col("defline"))
+
+
+def _fasta(t: DataFrame) -> DataFrame:
+    return t.select(F.concat(F.lit(">"), _name(), F.lit("\n"), F.substring("seq", 1, 60), F.lit("\n"), F.lower(F.substring("seq", 61, 1000)), F.lit("*-")).alias("value"))
+
+
+def _fastq(t: DataFrame) -> DataFrame:
+    return t.select(F.concat(F.lit("@"), _name(), F.lit("\n"), F.translate("seq", "T", "U"), F.lit("\n+\n@"), F.repeat(F.lit("I"), F.length("seq") - 1)).alias("value"))
+
+
+def _counts(labels: str, order: str) -> F.Column:
+    n = lambda b: (F.length("seq") - F.length(F.translate("seq", b, ""))).cast("string")
+    return F.concat(*[x for b, label in zip(order, labels) for x in (F.lit(" "), n(b), F.lit(f" {label}"))])
+
+
+def _numbered(at: int) -> F.Column:
+    return F.concat(F.lit(f"{at:>9} "), F.lower(F.substring("seq", at, 60)))
+
+
+def _genbank(t: DataFrame) -> DataFrame:
+    lines = [
+        F.concat(F.lit("LOCUS       T"), F.col("target_id").cast("string")), F.lit("DEFINITION  made from a table"), F.concat(F.lit("ACCESSION   T"), F.col("target_id").cast("string")),
+        F.concat(F.lit("SOURCE      "), F.col("defline")), F.lit("FEATURES             Location/Qualifiers"), F.lit("     source          1..96"),
+        F.lit("     gene            11..40"), F.lit('                     /gene="g1"'), F.lit("     CDS             11..40"), F.lit('                     /product="a thing"'),
+        F.lit("     tRNA            complement(join(50..60,70..80))"), F.lit('                     /locus_tag="t1"'), F.concat(F.lit("BASE COUNT"), _counts("acgt", "ACGT")), F.lit("ORIGIN"), _numbered(1), _numbered(61), F.lit("//"),
+    ]
+    return t.select(F.concat_ws("\n", *lines).alias("value"))
+
+
+def _embl(t: DataFrame) -> DataFrame:
+    number = F.col("target_id").cast("string")
+    lines = [
+        F.concat(F.lit("ID   T"), number, F.lit("; SV 1; linear;")), F.concat(F.lit("AC   T"), number, F.lit(";")), F.concat(F.lit("OS   "), F.col("defline")), F.lit("FH   Key             Location/Qualifiers"),
+        F.lit("FT   gene            11..40"), F.lit('FT                   /gene="g1"'), F.lit("FT   CDS             11..40"), F.lit('FT                   /product="a thing"'),
+        F.lit("FT   tRNA            complement(join(50..60,70..80))"), F.lit('FT                   /locus_tag="t1"'),
+        F.concat(F.lit("SQ   Sequence 96 BP;"), F.regexp_replace(_counts("ACGT", "ACGT"), "([ACGT])", "$1;")), F.concat(F.lit("     "), F.lower("seq"), F.lit("        96")), F.lit("//"),
+    ]
+    return t.select(F.concat_ws("\n", *lines).alias("value"))
+
+
+_NAMED = f"WITH {_T}, w AS (SELECT CAST(target_id AS VARCHAR) || ' ' || defline AS defline, seq FROM t)"
+
+
+@register("read_fasta", f"{_NAMED} SELECT defline, seq, CAST(96 AS INT) AS length FROM w")
+def _(spark, d):
+    return readers.read_targets(spark, _filed(_fasta(demo.targets(spark, d)), "fasta")).select("defline", "seq", "length")
+
+
+@register("read_fasta_gzip", f"{_NAMED} SELECT defline, seq FROM w")
+def _(spark, d):
+    return readers.read_targets(spark, _filed(_fasta(demo.targets(spark, d)), "fasta", gzip=True)).select("defline", "seq")
+
+
+@register("read_fastq", f"{_NAMED} SELECT defline, seq FROM w")
+def _(spark, d):
+    return readers.read_targets(spark, _filed(_fastq(demo.targets(spark, d)), "fastq")).select("defline", "seq")
+
+
+_RECORDS = f"WITH {_T} SELECT 'T' || CAST(target_id AS VARCHAR) || ' ' || defline AS defline, 'T' || CAST(target_id AS VARCHAR) AS accession, seq FROM t"
+_TABLE = f"""WITH {_T}, x(type, strand, f_start, f_stop, locus, locus_tag, product, n_segments) AS (VALUES ('GENE', '+', 10::BIGINT, 39::BIGINT, 'g1', NULL, 'a thing', 1), ('tRNA', '-', 49::BIGINT, 79::BIGINT, NULL, 't1', NULL, 2))
+SELECT 'T' || CAST(target_id AS VARCHAR) AS accession, x.* FROM t, x"""
+
+
+def _table(targets: DataFrame) -> DataFrame:
+    f = readers.features_of(targets).join(targets.select("target_id", "accession"), "target_id")
+    return f.select("accession", "type", "strand", "f_start", "f_stop", "locus", "locus_tag", "product", F.size("segments").alias("n_segments"))
+
+
+@register("read_genbank", _RECORDS)
+def _(spark, d):
+    return readers.read_targets(spark, _filed(_genbank(demo.targets(spark, d)), "genbank")).select("defline", "accession", "seq")
+
+
+@register("genbank_features", _TABLE)
+def _(spark, d):
+    return _table(readers.read_targets(spark, _filed(_genbank(demo.targets(spark, d)), "genbank")))
+
+
+@register("read_embl", _RECORDS)
+def _(spark, d):
+    return readers.read_targets(spark, _filed(_embl(demo.targets(spark, d)), "embl", gzip=True)).select("defline", "accession", "seq")
+
+
+@register("embl_features", _TABLE)
+def _(spark, d):
+    return _table(readers.read_targets(spark, _filed(_embl(demo.targets(spark, d)), "embl")))
+
+
+@register("read_mixed_formats", f"{_NAMED} SELECT defline, seq, 3::BIGINT AS n FROM w")
+def _(spark, d):
+    """A third of the targets in each of three formats, in one folder; deflines as in FASTA."""
+    t, home = demo.targets(spark, d), shared_path(spark, "mixed")
+    for n, made in enumerate((_fasta, _fastq, _genbank)):
+        made(t.where(F.col("target_id") % 3 == n)).write.text(f"{home}/{n}")
+    got = readers.read_targets(spark, f"{home}/*/part-*")
+    kinds = got.select(F.count_distinct(F.element_at(F.split("source_path", "/"), -2)).alias("n"))
+    return got.select(F.regexp_replace("defline", "^T", "").alias("defline"), "seq").crossJoin(F.broadcast(kinds))  # one row
+
+
+@register("read_assays", f"WITH {_T}, {_A} SELECT assay_id, replace(name, '#', '_') AS name, forward, reverse, CASE WHEN assay_id % 2 = 0 THEN probe END AS probe FROM a")
+def _(spark, d):
+    a = demo.assays(spark, d).coalesce(1).orderBy("assay_id")
+    line = F.concat_ws("\t", F.translate("name", "#", "_"), F.lower("forward"), "reverse", F.when(F.col("assay_id") % 2 == 0, F.col("probe")))
+    path = _filed(a.select(F.concat(F.lit("# a comment\n\n"), line, F.lit("  # more")).alias("value")).coalesce(1), "assays")
+    return readers.read_assays(spark, path)
+
+
+@register("write_sif", f"{_FULL} SELECT DISTINCT regexp_replace(name, '\\s', '_', 'g') || ' binds ' || regexp_replace(defline, '\\s', '_', 'g') AS value FROM mm")
+def _(spark, d):
+    path = shared_path(spark, "sif")
+    writers.write_lines(writers.sif_lines(demo.matches(spark, d)), path)
+    return spark.read.text(path).select(F.regexp_replace("value", r"[\t ]+", " ").alias("value"))
+
+
 # The binding kernel has no SQL; these are checked by golden values and plain versions in the tests.
 
 
@@ -345,6 +480,20 @@ def _(spark, d):
     return bindings.unique(found, "oligo", "target_id").select("oligo", "strand", "target_id", "loc_5", "loc_3", *[F.round(c, 6).alias(c) for c in ("dh", "ds", "dg", "tm")], "anchor_5", "anchor_3", "num_mm", "num_gap")
 
 
+_CUT = f"{_BASE}, c AS (SELECT DISTINCT substr(seq, 41, 18) AS oligo FROM t WHERE target_id % 20 = 0), r AS (SELECT oligo, '-' AS strand, oligo AS read FROM c UNION ALL SELECT oligo, '+', {_RC('oligo')} FROM c), z AS (SELECT target_id, n AS loc_5, substr(seq, n + 1, 18) AS read FROM t, unnest(range(0, length(seq) - 17)) AS u(n))"
+
+
+@register("bind_perfect", f"""{_CUT} SELECT oligo, strand, target_id, loc_5, loc_5 + 17 AS loc_3, round({_h('oligo', 0)} / 100.0::DOUBLE, 6) AS dh, {_tm('oligo')} AS tm, 0::INT AS num_mm, 0::INT AS num_gap FROM r JOIN z USING (read)""")
+def _(spark, d):
+    """The kernel's perfect bindings of oligos cut from every 20th target, in all targets."""
+    t = demo.targets(spark, d)
+    cut = t.where("target_id % 20 = 0").select(F.substring("seq", 41, 18).alias("oligo")).distinct()
+    win = seeds.windows(seeds.diagonals(seeds.seed_hits(cut, t, 9)), t).withColumn("ct", F.lit(duplex.DEFAULT_PRIMER_CT))
+    found = bindings.within(bindings.bind(win), tm=(0.0, 9999.0), max_mismatch=0, max_gap=0)
+    whole = F.col("loc_3") - F.col("loc_5") == 17
+    return bindings.unique(found.where(whole), "oligo", "target_id").select("oligo", "strand", "target_id", "loc_5", "loc_3", F.round("dh", 6).alias("dh"), F.round("tm", 6).alias("tm"), F.col("num_mm").cast("int").alias("num_mm"), F.col("num_gap").cast("int").alias("num_gap"))
+
+
 @register("self_structure", None)
 def _(spark, d):
     o = demo.targets(spark, d).select(F.substring("seq", 1, 24).alias("oligo"))
