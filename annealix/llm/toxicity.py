@@ -29,13 +29,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -251,26 +252,39 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
     counted = texts.select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic int, sign long, terms array<string>, tf array<int>")
     # Copies are one entry; a repeated id counts as often as it has rows.
     entries = counted.groupBy("terms", "tf").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min_by("toxic", "doc_id").alias("one"), F.first("sign").alias("sign"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("ids"))
-    rows = entries.collect()  # of the sample alone
-    rows.sort(key=lambda r: (r.ids[0], r.terms, r.tf))
+    held = entries.toArrow().combine_chunks()  # of the sample alone
+    first = pc.list_element(held["ids"], 0) if len(held) else held["n"]
+    held = held.append_column("first", first).append_column("size", pc.list_value_length(held["terms"]))
+    held = held.take(pc.sort_indices(held, [(c, "ascending") for c in ("first", "sign", "size", "toxic")]))
+    n, toxic, one, sign, sizes = (held[c].to_numpy().astype(np.int64) for c in ("n", "toxic", "one", "sign", "size"))
+    coded = pc.dictionary_encode(pc.list_flatten(held["terms"])).combine_chunks()
+    coded = coded if isinstance(coded, pa.DictionaryArray) else coded.chunk(0) if coded.num_chunks else pa.array([], pa.string()).dictionary_encode()
+    code, tf = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(held["tf"]).to_numpy().astype(np.float64)
+    total = len(coded.dictionary)
     # Near copies would make any word of theirs look telling, so terms are judged on one example of each group.
-    single = list({r.sign: r for r in reversed(rows)}.values())
-    df: dict[str, int] = defaultdict(int)
-    a: dict[str, int] = defaultdict(int)
-    for r in single:
-        for t in r.terms:
-            df[t] += 1
-            if r.one:
-                a[t] += 1
-    seen = Counter(t for r in rows for t in r.terms)
-    terms = {t: i for i, t in enumerate(sorted(seen, key=lambda t: (-seen[t], t)))}
-    dfs = np.array([max(df[t], 1) for t in terms], np.float64)
-    n, pos = len(single), sum(1 for r in single if r.one)
-    weights = (np.log((1 + n) / (1 + dfs)) + 1) * relevance(n, pos, dfs, np.array([a.get(t, 0) for t in terms], np.float64))
-    examples = sum(r.n for r in rows)
-    index = Index(terms, weights, sum(int(r.toxic) for r in rows) / examples if examples else 0.0, k, pull)
-    vectors = [index.vector(dict(zip(r.terms, r.tf))) for r in rows]
-    index.build(vectors, [r.n for r in rows], [int(r.toxic) for r in rows], [list(r.ids) for r in rows])
+    single = np.zeros(len(n), bool)
+    single[np.unique(sign, return_index=True)[1]] = True
+    df = np.bincount(code[np.repeat(single, sizes)], minlength=total).astype(np.float64)
+    found = np.bincount(code[np.repeat(single & (one > 0), sizes)], minlength=total).astype(np.float64)
+    many = np.bincount(code, minlength=total)
+    by_name = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
+    by_number = by_name[np.argsort(-many[by_name], kind="stable")]
+    number = np.empty(total, np.int64)
+    number[by_number] = np.arange(total)
+    terms = {t: i for i, t in enumerate(coded.dictionary.take(pa.array(by_number)).to_pylist())}
+    df, found = np.maximum(df, 1)[by_number], found[by_number]
+    texts_n, pos = int(single.sum()), int((single & (one > 0)).sum())
+    weights = (np.log((1 + texts_n) / (1 + df)) + 1) * relevance(texts_n, pos, df, found)
+    examples = int(n.sum())
+    index = Index(terms, weights, int(toxic.sum()) / examples if examples else 0.0, k, pull)
+    code = number[code]
+    vectors, ends = [], np.cumsum(sizes)
+    for lo, hi in zip((ends - sizes).tolist(), ends.tolist()):
+        by_id = np.argsort(code[lo:hi])
+        t = code[lo:hi][by_id]
+        w = (1 + np.log(tf[lo:hi][by_id])) * weights[t]
+        vectors.append((t, w / (math.sqrt(float(w @ w)) or 1.0)))
+    index.build(vectors, n.tolist(), toxic.tolist(), held["ids"].to_pylist())
     index.calibrate(vectors)
     return index
 
