@@ -28,6 +28,7 @@ all every score is 0. Empty table: empty result.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -88,7 +89,7 @@ class Index:
         w = (1 + np.log(c[by_id])) * self.weights[t]
         return t, w / (math.sqrt(float(w @ w)) or 1.0)
 
-    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]], counts: list[int], toxic: list[int], ids: list[list[int]]) -> None:
+    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]], counts: list[int], toxic: list[int], ids: list[list[int]]) -> Index:
         def heaviest(i: int) -> tuple:
             t, w = vectors[i]
             top = np.lexsort((t, -w))[:4]
@@ -121,6 +122,7 @@ class Index:
         self.cell_block = self.entry[at] // self.block
         self.cell_max = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
         self.of_term = np.searchsorted(term[at], np.arange(len(self.weights) + 1))
+        return self
 
     def starts(self, vectors: list[tuple[np.ndarray, np.ndarray]], at_once: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """What the matrix adds to each vector's similarities and bounds, for many vectors by one product."""
@@ -229,8 +231,8 @@ def relevance(n: int, pos: int, df: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.where(a * n > df * pos, np.maximum(2 * total, FLOOR), FLOOR)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_examples: int, k: int, pull: float) -> Index:
-    """The index of a bounded sample of labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_examples: int, k: int, pull: float) -> bytes:
+    """The pickled index of a bounded sample of labelled rows."""
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     usable = named.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     hashed = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
@@ -252,13 +254,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
     counted = texts.select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic int, sign long, terms array<string>, tf array<int>")
     # Copies are one entry; a repeated id counts as often as it has rows.
     entries = counted.groupBy("terms", "tf").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min_by("toxic", "doc_id").alias("one"), F.first("sign").alias("sign"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("ids"))
-    held = entries.toArrow().combine_chunks()  # of the sample alone
-    first = pc.list_element(held["ids"], 0) if len(held) else held["n"]
-    held = held.append_column("first", first).append_column("size", pc.list_value_length(held["terms"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_index_of(pa.Table.from_batches(held), k, pull), 5)], pa.binary())], ["index"])
+
+    # One task makes the index of the sample, so the driver holds its bytes alone.
+    made = entries.repartition(1).mapInArrow(run, "index binary").collect()
+    return bytes(made[0][0]) if made else pickle.dumps(Index({}, np.zeros(0), 0.0, k, pull).build([], [], [], []), 5)
+
+
+def _index_of(held: pa.Table, k: int, pull: float) -> Index:
+    """The index of counted entries: terms, tf, n, toxic, one, sign, ids."""
+    held = held.append_column("first", pc.list_element(held["ids"], 0)).append_column("size", pc.list_value_length(held["terms"]))
     held = held.take(pc.sort_indices(held, [(c, "ascending") for c in ("first", "sign", "size", "toxic")]))
     n, toxic, one, sign, sizes = (held[c].to_numpy().astype(np.int64) for c in ("n", "toxic", "one", "sign", "size"))
     coded = pc.dictionary_encode(pc.list_flatten(held["terms"])).combine_chunks()
-    coded = coded if isinstance(coded, pa.DictionaryArray) else coded.chunk(0) if coded.num_chunks else pa.array([], pa.string()).dictionary_encode()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
     code, tf = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(held["tf"]).to_numpy().astype(np.float64)
     total = len(coded.dictionary)
     # Near copies would make any word of theirs look telling, so terms are judged on one example of each group.
@@ -334,7 +346,7 @@ def score(
     rows = pick(docs, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(shared.value)
+        judge = Judge(pickle.loads(shared.value))
         for b in batches:
             found = judge(b.column("text").to_pylist())
             scores = [p for p, _, _ in found]
@@ -353,7 +365,7 @@ def reject(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     shared = spark.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **(DEFAULTS | fitting)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(shared.value)
+        judge = Judge(pickle.loads(shared.value))
         for b in batches:
             yield b.filter(pa.array([p < threshold for p, _, _ in judge(b.column(text_col).to_pylist())], pa.bool_()))
 
