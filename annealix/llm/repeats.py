@@ -2,20 +2,26 @@
 
 Every byte covered by a ``length``-byte string that also starts anywhere else
 is removed. The texts are parsed by a rolling hash over ``seed`` bytes: the
-trigger of a string is the place of the least hash inside it (the leftmost, if
-several), so every string has one, equal strings have theirs at the same place,
-and a trigger serves a run of consecutive strings, a phrase. A phrase with its
+trigger of a string is the place of the least hash among the first ``width`` ones
+inside it (the leftmost, if several), so every string has one, equal strings have
+theirs at the same place, and a trigger serves a run of consecutive strings, a
+phrase. A phrase with its
 context (all bytes of all strings it serves) is an entry of the dictionary, the
 sequence of a text's phrases its parse.
 
 1. Dictionary entries that occur more than once: all strings of their phrases
    are repeats. In highly repetitive text this settles nearly everything, at
-   one row for about half of ``length - seed`` bytes.
+   one row for about half of ``width`` bytes.
 2. Entries that occur once, but whose trigger occurs elsewhere, lie at the ends
    of repeats. Their strings, and those of one phrase per repeated entry with
    the same trigger, are compared one by one by their hashes.
 3. Entries whose trigger is unique hold no repeat.
 
+Triggers also tell of passages too short to be removed: a passage of at least
+``seed + width - 1`` bytes (300; about 50 words) that lies in two different texts
+has a trigger that both share. ``n_shared`` counts such triggers of a text; each
+is a string of ``seed`` bytes that another text has too.
+
 Only equality of ``length``-byte prefixes is needed, so the order of suffixes
 is never made: entries and strings fall into classes by 128-bit and 96-bit
 hashes instead of ranks, which can be combined before the shuffle and split
@@ -24,7 +30,10 @@ them, found by a bitmap of fixed size; texts that stay or go as a whole are
 never shuffled.
 
 Null text: empty. Texts shorter than ``length`` stay. Repeated rows are copies
-of each other. Null ids stay. Empty table: empty result.
+of each other; ``n_shared`` does not count them, as their text is the same. Ties
+among hashes: the leftmost. A very long text is parsed in pieces. Null ids stay.
+Only the named columns are read, so others can't clash. Empty table: empty
+result.
 """
 
 from __future__ import annotations
@@ -84,38 +93,46 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def phrases(hasher: Hasher, data: np.ndarray, spans: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Phrases of pieces of a buffer: piece, first and last start of its strings, trigger hash, hash of its context.
+def phrases(hasher: Hasher, data: np.ndarray, spans: np.ndarray, length: int, seed: int, width: int) -> tuple[np.ndarray, ...]:
+    """Phrases of pieces of a buffer: piece, first and last start of its strings, trigger hash, hash of its context, whether it has strings.
 
     ``spans`` has start and stop of each piece; pieces lie one behind another.
+    The last starts of a piece have no string of ``length`` behind them; their
+    triggers that no string has are phrases without strings.
     """
     sizes = np.maximum(spans[:, 1] - spans[:, 0] - length + 1, 0)
+    reach = np.maximum(spans[:, 1] - spans[:, 0] - (seed + width - 1) + 1, 0)
     none = np.zeros(0, np.int64)
-    if not sizes.sum():
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    if not reach.sum():
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
     hasher.load(data)
     h = hasher.runs(seed)
     bits = np.uint64(max(len(data).bit_length(), 1))
     place = np.arange(len(h), dtype=np.uint64)
-    least = _least((h >> bits << bits) | place, length - seed + 1)
+    least = _least((h >> bits << bits) | place, width)
     trigger = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    piece = np.repeat(np.arange(len(spans)), sizes)
-    start = np.arange(len(piece)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(spans[:, 0], sizes)
+    piece = np.repeat(np.arange(len(spans)), reach)
+    within = np.arange(len(piece)) - np.repeat(np.cumsum(reach) - reach, reach)
+    start = within + np.repeat(spans[:, 0], reach)
+    has = within < sizes[piece]
     trigger = trigger[start]
+    same = (trigger[1:] == trigger[:-1]) & (piece[1:] == piece[:-1])
     new = np.ones(len(piece), bool)
-    new[1:] = (trigger[1:] != trigger[:-1]) | (piece[1:] != piece[:-1])
+    new[1:] = ~same | (has[1:] != has[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(piece)) - 1
-    lo, hi, at = start[first], start[last], trigger[first]
-    context = hasher.of(lo, hi + length) ^ mix(((hi - lo) << 20 | (at - lo)).astype(np.uint64))
-    return piece[first], lo, hi, h[at], context
+    again = np.concatenate(([False], same))[first] & ~has[first]  # the string before had this trigger
+    first, last = first[~again], last[~again]
+    lo, hi, at, has = start[first], start[last], trigger[first], has[first]
+    context = hasher.of(lo, np.where(has, hi + length, lo)) ^ mix(((hi - lo) << 20 | (at - lo)).astype(np.uint64))
+    return piece[first], lo, hi, h[at], np.where(has, context, np.uint64(0)), has
 
 
-def _groups(offsets: np.ndarray, length: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces of texts (text, start, stop), in groups of up to about ``most`` bytes, or of one piece."""
+def _groups(offsets: np.ndarray, length: int, least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of texts (text, start, stop) of ``least`` bytes or more, in groups of up to about ``most`` bytes, or of one piece."""
     text, start, stop, total = [], [], [], 0
     for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        for at in range(a, max(b - length + 1, a), most):
+        for at in range(a, max(b - least + 1, a), most):
             end = min(at + most + length - 1, b)
             if total + end - at > most and total:
                 yield np.array(text), np.array(start), np.array(stop)
@@ -136,21 +153,22 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def parse(texts: DataFrame, length: int, seed: int, piece_bytes: int = _PIECE) -> DataFrame:
-    """tk, lo, hi, seed, ctx: one row per phrase. ``texts`` has tk and text."""
+def parse(texts: DataFrame, length: int, seed: int, width: int, piece_bytes: int = _PIECE) -> DataFrame:
+    """tk, lo, hi, seed, ctx: one row per phrase; lo and hi are -1 if it has no strings. ``texts`` has tk and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
             tk = b.column("tk").to_numpy()
             data, offsets = _bytes_of(b.column("text"))
-            for text, start, stop in _groups(offsets, length, piece_bytes):
+            for text, start, stop in _groups(offsets, length, seed + width - 1, piece_bytes):
                 shift = np.cumsum(stop - start) - (stop - start)
                 buffer = np.concatenate([data[a:z] for a, z in zip(start.tolist(), stop.tolist())])
-                piece, lo, hi, s, c = phrases(hasher, buffer, np.stack((shift, shift + stop - start), axis=1), length, seed)
+                piece, lo, hi, s, c, has = phrases(hasher, buffer, np.stack((shift, shift + stop - start), axis=1), length, seed, width)
                 if len(piece):
                     move = (start - shift - offsets[text])[piece]
-                    yield pa.RecordBatch.from_arrays([pa.array(tk[text[piece]]), pa.array((lo + move).astype(np.int32)), pa.array((hi + move).astype(np.int32)), pa.array(s.view(np.int64)), pa.array(c.view(np.int64))], ["tk", "lo", "hi", "seed", "ctx"])
+                    lo, hi = (np.where(has, x + move, -1).astype(np.int32) for x in (lo, hi))
+                    yield pa.RecordBatch.from_arrays([pa.array(tk[text[piece]]), pa.array(lo), pa.array(hi), pa.array(s.view(np.int64)), pa.array(c.view(np.int64))], ["tk", "lo", "hi", "seed", "ctx"])
 
     return texts.select("tk", "text").mapInArrow(run, "tk long, lo int, hi int, seed long, ctx long")
 
@@ -178,34 +196,38 @@ def _strings(units: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "tk long, at int, hash long, tag int, once boolean")
 
 
-def repeated_ranges(texts: DataFrame, *, length: int = 400, seed: int = 200, piece_bytes: int = _PIECE) -> DataFrame:
-    """tk, ranges: array<struct<lo, hi>>, first and last starts of repeated strings, of texts that have any."""
-    units = materialise(parse(texts, length, seed, piece_bytes), "phrases")
+def repeated_ranges(texts: DataFrame, *, length: int = 400, seed: int = 150, width: int = 151, piece_bytes: int = _PIECE) -> tuple[DataFrame, DataFrame]:
+    """Of texts that have any: tk, ranges: array<struct<lo, hi>>, first and last starts of repeated strings; and tk, n_shared."""
+    units = materialise(parse(texts, length, seed, width, piece_bytes), "phrases")
     # Written first, so that the join reads both sides from a shuffle and AQE can split a frequent trigger.
     shared = materialise(units.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("seed"), "shared-triggers")
     live = units.join(shared, "seed", "left_semi")
     # Entries are named by a hash of both, so that a frequent trigger's rows are combined before they meet.
     live = live.withColumn("entry", F.xxhash64("seed", "ctx"))
-    entries = materialise(live.groupBy("entry", "ctx").agg(F.first("seed").alias("seed"), F.count("*").alias("n"), F.min(F.struct("tk", "lo")).alias("one")), "entries")
-    ends = materialise(entries.groupBy("seed").agg(F.min("n").alias("fewest")), "triggers")
-    known = entries.join(ends, "seed").select("entry", "ctx", "n", "one", (F.col("fewest") == 1).alias("open"))
-    status = materialise(live.join(known, ["entry", "ctx"]).select("tk", "lo", "hi", "seed", (F.col("n") == 1).alias("once"), "open", (F.struct("tk", "lo") == F.col("one")).alias("first")), "phrase-status")
-    whole = status.where(~F.col("once")).select("tk", "lo", "hi")
-    compared = status.where(F.col("open") & (F.col("once") | F.col("first"))).select("tk", "lo", "hi", "seed", "once").distinct()
+    entries = materialise(live.groupBy("entry", "ctx").agg(F.first("seed").alias("seed"), F.count("*").alias("n"), F.min(F.struct("tk", "lo")).alias("one"), F.max("tk").alias("last")), "entries")
+    ends = materialise(entries.groupBy("seed").agg(F.min("n").alias("fewest"), (F.min("one.tk") < F.max("last")).alias("across")), "triggers")
+    known = entries.join(ends, "seed").select("entry", "ctx", "n", "one", (F.col("fewest") == 1).alias("open"), "across")
+    status = live.join(known, ["entry", "ctx"]).select("tk", "lo", "hi", "seed", (F.col("n") == 1).alias("once"), "open", (F.struct("tk", "lo") == F.col("one")).alias("first"), "across")
+    status = materialise(status, "phrase-status")
+    strung = status.where("lo >= 0")
+    whole = strung.where(~F.col("once")).select("tk", "lo", "hi")
+    compared = strung.where(F.col("open") & (F.col("once") | F.col("first"))).select("tk", "lo", "hi", "seed", "once").distinct()
     strings = materialise(_strings(compared, texts, length), "strings")
     twice = materialise(strings.groupBy("hash", "tag").agg(F.sum(F.when(F.col("once"), 1).otherwise(2)).alias("n")).where(F.col("n") > 1).select("hash", "tag"), "repeated-strings")
     ends = strings.where("once").join(twice, ["hash", "tag"], "left_semi").select("tk", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return whole.unionByName(ends).distinct().groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
+    ranges = whole.unionByName(ends).distinct().groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
+    return ranges, status.where("across").select("tk", "seed").distinct().groupBy("tk").agg(F.count("*").alias("n_shared"))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, seed: int = 200, piece_bytes: int = _PIECE, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``, kept (binary)."""
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, seed: int = 150, piece_bytes: int = _PIECE, keep_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared and, with ``keep_text``, kept (binary)."""
     if not 0 < seed < length:
         raise ValueError("seed must lie between 0 and length")
+    width = min(seed + 1, length - seed + 1)
     bounded_batches(docs.sparkSession)
     texts = pick(docs, id_col, text_col).withColumn("tk", key_of(F.col("text")))
-    long = texts.where(F.octet_length("text") >= length)
-    ranges = repeated_ranges(long, length=length, seed=seed, piece_bytes=piece_bytes)
+    long = texts.where(F.octet_length("text") >= seed + width - 1)
+    ranges, shared = repeated_ranges(long, length=length, seed=seed, width=width, piece_bytes=piece_bytes)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ranges of starts become spans of bytes, joined where they touch."""
@@ -246,9 +268,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     partial = spans.join(lengths, "tk").where(F.col("n_removed") < F.col("n_bytes")).select("tk", "starts", "stops")
     cuts = with_texts(long, partial).select("tk", "text", "starts", "stops").mapInArrow(cut, "tk long, sha string" + kept_type)
     # Written first, so that AQE can split a text with many copies in the join below.
-    found = materialise(spans.select("tk", "n_removed", F.size("starts").cast("long").alias("n_spans")).join(cuts, "tk", "left"), "cut-texts")
+    found = materialise(spans.select("tk", "n_removed", F.size("starts").cast("long").alias("n_spans")).join(cuts, "tk", "left").join(shared, "tk", "full"), "cut-texts")
     out = rows.join(found, "tk", "left")
     zero = F.lit(0).cast("long")
     sha = F.when(F.col("n_removed").isNull(), F.col("own")).otherwise(F.coalesce("sha", F.lit(none)))
     kept = [F.when(F.col("n_removed").isNull(), F.col("own_text")).otherwise(F.coalesce("kept", F.lit("").cast("binary"))).alias("kept")] if keep_text else []
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), sha.alias("kept_sha256"), *kept)
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), sha.alias("kept_sha256"), F.coalesce("n_shared", zero).alias("n_shared"), *kept)

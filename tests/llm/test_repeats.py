@@ -23,7 +23,7 @@ def brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "seed", "piece"), [(40, 20, 1 << 20), (40, 33, 1 << 20), (40, 20, 100), (12, 3, 1 << 20)])
+@pytest.mark.parametrize(("length", "seed", "piece"), [(40, 20, 1 << 20), (40, 33, 1 << 20), (40, 15, 100), (12, 3, 1 << 20)])
 def test_equals_brute_force(spark, length, seed, piece):
     r = random.Random(length + seed)
     noise = lambda n: "".join(r.choice("abcdeé 🙂") for _ in range(n))
@@ -55,6 +55,22 @@ def test_default_length(spark):
     assert repeats.remove_repeats(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_shared_passages_too_short_to_remove(spark):
+    r = random.Random(3)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passages = [noise(n) for n in (300, 320, 390, 1000, 140)]
+    texts, want = [], []
+    for p in passages:
+        texts += [p + noise(r.randint(0, 900)), noise(r.randint(0, 900)) + p, noise(300) + p + noise(300)]
+        want += [len(p) >= 300] * 3
+    alone = noise(350)
+    texts += [noise(2000), alone + noise(10) + alone, "x" * 299, noise(1500), None]
+    want += [False] * 5
+    got = {x.doc_id: x for x in repeats.remove_repeats(frame(spark, texts)).collect()}
+    assert [got[i].n_shared > 0 for i in range(len(texts))] == want
+    assert [got[i].n_removed > 0 for i in range(len(texts))] == [i // 3 == 3 for i in range(len(texts))]
+
+
 def test_null_ids_and_copies(spark):
     t = "some text that is long enough " * 20
     rows = repeats.remove_repeats(frame(spark, [t, t, "short"], [None, None, 3])).collect()
