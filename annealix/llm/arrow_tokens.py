@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pick
+from .common import bounded_batches, file_system, pick
 
 _MAX_CACHE, _MAX_WORD = 200_000, 40
 
@@ -164,14 +164,6 @@ def load_encoder(path: str, dtype: str) -> PieceEncoder:
     return PieceEncoder(path, dtype)
 
 
-def _fs(uri: str):
-    from pyarrow import fs
-
-    if uri.startswith(("/", "file:")):
-        return fs.LocalFileSystem(use_mmap=True), re.sub(r"^file:/*", "/", uri)
-    return fs.FileSystem.from_uri(uri)
-
-
 def vocabulary_dtype(path: str) -> str:
     from tokenizers import Tokenizer
 
@@ -244,7 +236,7 @@ def write_token_files(
 
         part = TaskContext.get().partitionId()
         enc = load_encoder(tokenizer_path, dtype)
-        fs, folder = _fs(out_dir)
+        fs, folder = file_system(out_dir)
         out, index, offset, n_docs = None, None, 0, 0
         for b in batches:
             if not b.num_rows:
@@ -287,7 +279,7 @@ class TokenFile:
     """Random access to one file: ``sequence(r)`` and ``tokens(start, n)`` read only the batches they need."""
 
     def __init__(self, path: str):
-        fs, p = _fs(path)
+        fs, p = file_system(path)
         self.reader = pa.ipc.open_file(fs.open_input_file(f"{p}.arrow"))
         self.docs = pa.ipc.open_file(fs.open_input_file(f"{p}.docs"))
         self.length = self.reader.schema.field("ids").type.list_size

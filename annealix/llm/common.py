@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(uri: str):
+    """Arrow's file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    if uri.startswith(("/", "file:")):
+        return fs.LocalFileSystem(use_mmap=True), re.sub(r"^file:/*", "/", uri)
+    return fs.FileSystem.from_uri(uri)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system."""
     jvm = spark.sparkContext._jvm

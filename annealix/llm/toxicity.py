@@ -30,9 +30,11 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -41,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pick
+from .common import bounded_batches, file_system, pick, scratch
 
 _TERM = re.compile(r"[^\W\d_]+")
 #: Least relevance of a term.
@@ -231,8 +233,8 @@ def relevance(n: int, pos: int, df: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.where(a * n > df * pos, np.maximum(2 * total, FLOOR), FLOOR)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_examples: int, k: int, pull: float) -> bytes:
-    """The pickled index of a bounded sample of labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_examples: int, k: int, pull: float) -> str:
+    """Makes the index of a bounded sample of labelled rows; the path it is written to."""
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     usable = named.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     hashed = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
@@ -254,14 +256,35 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
     counted = texts.select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic int, sign long, terms array<string>, tf array<int>")
     # Copies are one entry; a repeated id counts as often as it has rows.
     entries = counted.groupBy("terms", "tf").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min_by("toxic", "doc_id").alias("one"), F.first("sign").alias("sign"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).alias("ids"))
+    path = scratch(docs.sparkSession, "toxicity-index")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_index_of(pa.Table.from_batches(held), k, pull), 5)], pa.binary())], ["index"])
+            save_index(_index_of(pa.Table.from_batches(held), k, pull), path)
+            yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    # One task makes the index of the sample and leaves it in the shared folder; the driver never holds it.
+    if not entries.repartition(1).mapInArrow(run, "path string").collect():
+        save_index(Index({}, np.zeros(0), 0.0, k, pull).build([], [], [], []), path)
+    return path
+
+
+def save_index(index: Index, path: str) -> None:
+    """Write the index beside its place and move it there, so that a task that runs again leaves the same file."""
+    fs, p = file_system(path)
+    fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
+    tmp = f"{p}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(tmp) as out:
+        pickle.dump(index, out, 5)
+    fs.move(tmp, p)
+
 
-    # One task makes the index of the sample, so the driver holds its bytes alone.
-    made = entries.repartition(1).mapInArrow(run, "index binary").collect()
-    return bytes(made[0][0]) if made else pickle.dumps(Index({}, np.zeros(0), 0.0, k, pull).build([], [], [], []), 5)
+@lru_cache(maxsize=1)
+def load_index(path: str) -> Index:
+    fs, p = file_system(path)
+    with fs.open_input_stream(p) as f:
+        return pickle.load(f)
 
 
 def _index_of(held: pa.Table, k: int, pull: float) -> Index:
@@ -342,11 +365,11 @@ def score(
     """doc_id, held_out, score, predicted, evidence (nearest examples with similarity), terms (the heaviest). ``fitting``: see DEFAULTS."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **(DEFAULTS | fitting)))
+    path = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **(DEFAULTS | fitting))
     rows = pick(docs, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(pickle.loads(shared.value))
+        judge = Judge(load_index(path))
         for b in batches:
             found = judge(b.column("text").to_pylist())
             scores = [p for p, _, _ in found]
@@ -362,10 +385,10 @@ def reject(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     """The rows of docs, with all their columns, whose score is under ``threshold``. Nothing is shuffled."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **(DEFAULTS | fitting)))
+    path = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **(DEFAULTS | fitting))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(pickle.loads(shared.value))
+        judge = Judge(load_index(path))
         for b in batches:
             yield b.filter(pa.array([p < threshold for p, _, _ in judge(b.column(text_col).to_pylist())], pa.bool_()))
 

@@ -1,5 +1,4 @@
 import math
-import pickle
 import random
 import zlib
 from collections import Counter
@@ -117,7 +116,7 @@ def plain_scores(texts, toxic, ids, k=25, pull=0.5):
 def test_votes_equal_a_plain_version(spark):
     texts, toxic = corpus(300, 5)
     labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
-    ix = pickle.loads(toxicity.fit(frame(spark, texts), labels, id_col="doc_id", text_col="text", label_col="toxic", **toxicity.DEFAULTS))
+    ix = toxicity.load_index(toxicity.fit(frame(spark, texts), labels, id_col="doc_id", text_col="text", label_col="toxic", **toxicity.DEFAULTS))
     want = plain_scores(texts, toxic, range(len(texts)))
     got = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), labels).collect()}
     points = sorted(ix.vote(ix.vector(Counter(toxicity._terms(t))), e, toxic[i]) for e, i in ((e, ix.ids[e][0]) for e in range(len(ix.ids))) for t in [texts[i]])
