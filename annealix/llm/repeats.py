@@ -201,9 +201,9 @@ def repeated_ranges(texts: DataFrame, *, length: int = 400, seed: int = 150, wid
     units = materialise(parse(texts, length, seed, width, piece_bytes), "phrases")
     # Written first, so that the join reads both sides from a shuffle and AQE can split a frequent trigger.
     shared = materialise(units.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("seed"), "shared-triggers")
-    live = units.join(shared, "seed", "left_semi")
     # Entries are named by a hash of both, so that a frequent trigger's rows are combined before they meet.
-    live = live.withColumn("entry", F.xxhash64("seed", "ctx"))
+    # Written, as two steps read them: all phrases are shuffled by trigger once.
+    live = materialise(units.join(shared, "seed", "left_semi").withColumn("entry", F.xxhash64("seed", "ctx")), "live-phrases")
     entries = materialise(live.groupBy("entry", "ctx").agg(F.first("seed").alias("seed"), F.count("*").alias("n"), F.min(F.struct("tk", "lo")).alias("one"), F.max("tk").alias("last")), "entries")
     ends = materialise(entries.groupBy("seed").agg(F.min("n").alias("fewest"), (F.min("one.tk") < F.max("last")).alias("across")), "triggers")
     known = entries.join(ends, "seed").select("entry", "ctx", "n", "one", (F.col("fewest") == 1).alias("open"), "across")
