@@ -60,6 +60,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table behind the result of ``materialise``, once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, folder)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound Arrow batches by rows and bytes, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, key_of, materialise, pick, with_texts
+from .common import bounded_batches, discard, key_of, materialise, pick, with_texts
 from .hashing import mix
 
 _BASE = 0x9E3779B97F4A7C15
@@ -204,11 +204,14 @@ def repeated_ranges(texts: DataFrame, *, length: int = 400, seed: int = 150, wid
     # Entries are named by a hash of both, so that a frequent trigger's rows are combined before they meet.
     # Written, as two steps read them: all phrases are shuffled by trigger once.
     live = materialise(units.join(shared, "seed", "left_semi").withColumn("entry", F.xxhash64("seed", "ctx")), "live-phrases")
+    discard(units)
     entries = materialise(live.groupBy("entry", "ctx").agg(F.first("seed").alias("seed"), F.count("*").alias("n"), F.min(F.struct("tk", "lo")).alias("one"), F.max("tk").alias("last")), "entries")
     ends = materialise(entries.groupBy("seed").agg(F.min("n").alias("fewest"), (F.min("one.tk") < F.max("last")).alias("across")), "triggers")
     known = entries.join(ends, "seed").select("entry", "ctx", "n", "one", (F.col("fewest") == 1).alias("open"), "across")
     status = live.join(known, ["entry", "ctx"]).select("tk", "lo", "hi", "seed", (F.col("n") == 1).alias("once"), "open", (F.struct("tk", "lo") == F.col("one")).alias("first"), "across")
     status = materialise(status, "phrase-status")
+    for table in (shared, live, entries, ends):
+        discard(table)
     strung = status.where("lo >= 0")
     whole = strung.where(~F.col("once")).select("tk", "lo", "hi")
     compared = strung.where(F.col("open") & (F.col("once") | F.col("first"))).select("tk", "lo", "hi", "seed", "once").distinct()
