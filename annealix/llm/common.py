@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Characters that separate words in every contract.
 WORD = r"[^\x20\x09-\x0D]+"
 _BITS = 27
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,10 +38,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a written table in the shared folder and read it back."""
+    """Cut lineage with a written table in the shared folder and read it back.
+
+    Once it is written nothing reads the shuffles behind it, so Spark deletes their files.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
