@@ -12,10 +12,11 @@ sequence of a text's phrases its parse.
 1. Dictionary entries that occur more than once: all strings of their phrases
    are repeats. In highly repetitive text this settles nearly everything, at
    one row for about half of ``width`` bytes.
-2. Entries that occur once, but whose trigger occurs elsewhere, lie at the ends
-   of repeats. Their strings, and those of one phrase per repeated entry with
-   the same trigger, are compared one by one by their hashes.
-3. Entries whose trigger is unique hold no repeat.
+2. Entries that occur once, but whose core (the bytes that every string with
+   their trigger holds) occurs elsewhere, lie at the ends of repeats. Their
+   strings, and those of one phrase per repeated entry with the same core, are
+   compared one by one by their hashes.
+3. Entries whose core or trigger is unique hold no repeat.
 
 Triggers also tell of passages too short to be removed: a passage of at least
 ``seed + width - 1`` bytes (300; about 50 words) that lies in two different texts
@@ -94,7 +95,10 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(hasher: Hasher, data: np.ndarray, spans: np.ndarray, length: int, seed: int, width: int) -> tuple[np.ndarray, ...]:
-    """Phrases of pieces of a buffer: piece, first and last start of its strings, trigger hash, hash of its context, whether it has strings.
+    """Phrases of pieces of a buffer: piece, first and last start of its strings, hashes of its trigger, context and core, whether it has strings.
+
+    The core is what every string of ``length`` bytes with that trigger holds,
+    whatever its place: ``length - width + 1`` bytes from the trigger on.
 
     ``spans`` has start and stop of each piece; pieces lie one behind another.
     The last starts of a piece have no string of ``length`` behind them; their
@@ -104,7 +108,7 @@ def phrases(hasher: Hasher, data: np.ndarray, spans: np.ndarray, length: int, se
     reach = np.maximum(spans[:, 1] - spans[:, 0] - (seed + width - 1) + 1, 0)
     none = np.zeros(0, np.int64)
     if not reach.sum():
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+        return none, none, none, *[none.astype(np.uint64)] * 3, none.astype(bool)
     hasher.load(data)
     h = hasher.runs(seed)
     bits = np.uint64(max(len(data).bit_length(), 1))
@@ -125,7 +129,8 @@ def phrases(hasher: Hasher, data: np.ndarray, spans: np.ndarray, length: int, se
     first, last = first[~again], last[~again]
     lo, hi, at, has = start[first], start[last], trigger[first], has[first]
     context = hasher.of(lo, np.where(has, hi + length, lo)) ^ mix(((hi - lo) << 20 | (at - lo)).astype(np.uint64))
-    return piece[first], lo, hi, h[at], np.where(has, context, np.uint64(0)), has
+    core = hasher.of(at, np.where(has, at + length - width + 1, at))
+    return piece[first], lo, hi, h[at], *(np.where(has, x, np.uint64(0)) for x in (context, core)), has
 
 
 def _groups(offsets: np.ndarray, length: int, least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -154,7 +159,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parse(texts: DataFrame, length: int, seed: int, width: int, piece_bytes: int = _PIECE) -> DataFrame:
-    """tk, lo, hi, seed, ctx: one row per phrase; lo and hi are -1 if it has no strings. ``texts`` has tk and text."""
+    """tk, lo, hi, seed, ctx, core: one row per phrase; lo and hi are -1 if it has no strings. ``texts`` has tk and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -164,13 +169,13 @@ def parse(texts: DataFrame, length: int, seed: int, width: int, piece_bytes: int
             for text, start, stop in _groups(offsets, length, seed + width - 1, piece_bytes):
                 shift = np.cumsum(stop - start) - (stop - start)
                 buffer = np.concatenate([data[a:z] for a, z in zip(start.tolist(), stop.tolist())])
-                piece, lo, hi, s, c, has = phrases(hasher, buffer, np.stack((shift, shift + stop - start), axis=1), length, seed, width)
+                piece, lo, hi, s, c, k, has = phrases(hasher, buffer, np.stack((shift, shift + stop - start), axis=1), length, seed, width)
                 if len(piece):
                     move = (start - shift - offsets[text])[piece]
                     lo, hi = (np.where(has, x + move, -1).astype(np.int32) for x in (lo, hi))
-                    yield pa.RecordBatch.from_arrays([pa.array(tk[text[piece]]), pa.array(lo), pa.array(hi), pa.array(s.view(np.int64)), pa.array(c.view(np.int64))], ["tk", "lo", "hi", "seed", "ctx"])
+                    yield pa.RecordBatch.from_arrays([pa.array(tk[text[piece]]), pa.array(lo), pa.array(hi), *(pa.array(x.view(np.int64)) for x in (s, c, k))], ["tk", "lo", "hi", "seed", "ctx", "core"])
 
-    return texts.select("tk", "text").mapInArrow(run, "tk long, lo int, hi int, seed long, ctx long")
+    return texts.select("tk", "text").mapInArrow(run, "tk long, lo int, hi int, seed long, ctx long, core long")
 
 
 def _strings(units: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -197,29 +202,57 @@ def _strings(units: DataFrame, texts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_ranges(texts: DataFrame, *, length: int = 400, seed: int = 150, width: int = 151, piece_bytes: int = _PIECE) -> tuple[DataFrame, DataFrame]:
-    """Of texts that have any: tk, ranges: array<struct<lo, hi>>, first and last starts of repeated strings; and tk, n_shared."""
+    """Of texts that have any: tk, ranges: array<struct<lo, hi, mask>>, starts of repeated strings; and tk, n_shared.
+
+    With mask 0 all starts from lo to hi are meant, else lo plus the places of its bits.
+    """
     units = materialise(parse(texts, length, seed, width, piece_bytes), "phrases")
     # Written first, so that the join reads both sides from a shuffle and AQE can split a frequent trigger.
-    shared = materialise(units.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("seed"), "shared-triggers")
+    seeds = materialise(units.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("seed"), "shared-triggers")
     # Entries are named by a hash of both, so that a frequent trigger's rows are combined before they meet.
     # Written, as two steps read them: all phrases are shuffled by trigger once.
-    live = materialise(units.join(shared, "seed", "left_semi").withColumn("entry", F.xxhash64("seed", "ctx")), "live-phrases")
+    live = materialise(units.join(seeds, "seed", "left_semi").withColumn("entry", F.xxhash64("seed", "ctx")), "live-phrases")
     discard(units)
-    entries = materialise(live.groupBy("entry", "ctx").agg(F.first("seed").alias("seed"), F.count("*").alias("n"), F.min(F.struct("tk", "lo")).alias("one"), F.max("tk").alias("last")), "entries")
-    ends = materialise(entries.groupBy("seed").agg(F.min("n").alias("fewest"), (F.min("one.tk") < F.max("last")).alias("across")), "triggers")
-    known = entries.join(ends, "seed").select("entry", "ctx", "n", "one", (F.col("fewest") == 1).alias("open"), "across")
+    entries = materialise(live.groupBy("entry", "ctx").agg(F.first("seed").alias("seed"), F.first("core").alias("core"), F.count("*").alias("n"), F.min(F.struct("tk", "lo")).alias("one"), F.max("tk").alias("last")), "entries")
+    ends = materialise(entries.groupBy("seed").agg((F.min("one.tk") < F.max("last")).alias("across")), "triggers")
+    # Strings can be equal only if their cores are: entries whose core no other one has need no comparison.
+    met = materialise(entries.groupBy("seed", "core").agg(F.min("n").alias("fewest"), F.count("*").alias("m")).where((F.col("fewest") == 1) & (F.col("m") > 1)).select("seed", "core", F.lit(True).alias("open")), "open-cores")
+    known = entries.join(ends, "seed").join(met, ["seed", "core"], "left").select("entry", "ctx", "n", "one", F.coalesce("open", F.lit(False)).alias("open"), "across")
     status = live.join(known, ["entry", "ctx"]).select("tk", "lo", "hi", "seed", (F.col("n") == 1).alias("once"), "open", (F.struct("tk", "lo") == F.col("one")).alias("first"), "across")
     status = materialise(status, "phrase-status")
-    for table in (shared, live, entries, ends):
+    for table in (seeds, live, entries, ends, met):
         discard(table)
+    shared = materialise(status.where("across").select("tk", "seed").distinct().groupBy("tk").agg(F.count("*").alias("n_shared")), "shared-passages")
     strung = status.where("lo >= 0")
-    whole = strung.where(~F.col("once")).select("tk", "lo", "hi")
     compared = strung.where(F.col("open") & (F.col("once") | F.col("first"))).select("tk", "lo", "hi", "seed", "once").distinct()
     strings = materialise(_strings(compared, texts, length), "strings")
+    whole = materialise(strung.where(~F.col("once")).select("tk", "lo", "hi", F.lit(0).cast("long").alias("mask")).distinct(), "repeated-phrases")
+    discard(status)
     twice = materialise(strings.groupBy("hash", "tag").agg(F.sum(F.when(F.col("once"), 1).otherwise(2)).alias("n")).where(F.col("n") > 1).select("hash", "tag"), "repeated-strings")
-    ends = strings.where("once").join(twice, ["hash", "tag"], "left_semi").select("tk", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    ranges = whole.unionByName(ends).distinct().groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
-    return ranges, status.where("across").select("tk", "seed").distinct().groupBy("tk").agg(F.count("*").alias("n_shared"))
+    # Starts are put together, 64 to a number, before a text's are gathered.
+    block = (F.col("at") - F.col("at") % 64).alias("lo")
+    marks = strings.where("once").join(twice, ["hash", "tag"], "left_semi").groupBy("tk", block).agg(F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("mask"))
+    both = whole.unionByName(marks.select("tk", "lo", (F.col("lo") + 63).alias("hi"), "mask"))
+    ranges = materialise(both.groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "mask"))).alias("ranges")), "ranges")
+    for table in (strings, twice, whole):
+        discard(table)
+    return ranges, shared
+
+
+def runs_of(ranges: list[dict]) -> list[tuple[int, int]]:
+    """First and last start of every run in rows of ``repeated_ranges``, by first start; runs may overlap."""
+    out = []
+    for r in ranges:
+        lo, mask = r["lo"], r["mask"] & (1 << 64) - 1
+        if not mask:
+            out.append((lo, r["hi"]))
+        while mask:
+            skip = (mask & -mask).bit_length() - 1
+            mask >>= skip
+            n = (~mask & mask + 1).bit_length() - 1
+            out.append((lo + skip, lo + skip + n - 1))
+            lo, mask = lo + skip + n, mask >> n
+    return sorted(out)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, seed: int = 150, piece_bytes: int = _PIECE, keep_text: bool = False) -> DataFrame:
@@ -238,11 +271,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             starts, stops, removed = [], [], []
             for rs in b.column("ranges").to_pylist():
                 spans: list[list[int]] = []
-                for r in rs:
-                    if spans and r["lo"] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], r["hi"] + length)
+                for lo, hi in runs_of(rs):
+                    if spans and lo <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], hi + length)
                     else:
-                        spans.append([r["lo"], r["hi"] + length])
+                        spans.append([lo, hi + length])
                 starts.append([s[0] for s in spans])
                 stops.append([s[1] for s in spans])
                 removed.append(sum(z - a for a, z in spans))

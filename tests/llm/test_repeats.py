@@ -75,3 +75,18 @@ def test_null_ids_and_copies(spark):
     t = "some text that is long enough " * 20
     rows = repeats.remove_repeats(frame(spark, [t, t, "short"], [None, None, 3])).collect()
     assert sorted((x.doc_id is None, x.n_removed, x.n_bytes) for x in rows) == [(False, 0, 5), (True, 600, 600), (True, 600, 600)]
+
+
+def test_runs_of_masks():
+    r = random.Random(4)
+    for _ in range(300):
+        rows, want = [], set()
+        for _ in range(r.randint(1, 4)):
+            lo = 64 * r.randint(0, 5)
+            mask = r.choice([0, 1, -1, 1 << 63, r.getrandbits(64), r.getrandbits(64) & r.getrandbits(64)])
+            hi = lo + (63 if mask else r.randint(0, 200))
+            rows.append({"lo": lo, "hi": hi, "mask": mask if mask < 1 << 63 else mask - (1 << 64)})
+            want |= {x for x in range(lo, hi + 1) if not mask or mask >> (x - lo) & 1}
+        runs = repeats.runs_of(rows)
+        assert runs == sorted(runs)
+        assert {x for a, z in runs for x in range(a, z + 1)} == want
