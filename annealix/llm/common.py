@@ -37,15 +37,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/annealix-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, *, clean: bool = False) -> DataFrame:
     """Cut lineage with a written table in the shared folder and read it back.
 
-    Once it is written nothing reads the shuffles behind it, so Spark deletes their files.
+    With ``clean`` Spark deletes the files of the shuffles behind it once it is
+    written, as nothing reads them any more.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    if clean:
+        spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:

@@ -41,15 +41,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, key_of, materialise, pick, with_texts
+from .common import bounded_batches, discard, key_of, pick, with_texts
+from .common import materialise as written
 from .hashing import mix
 
+materialise = partial(written, clean=True)
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Window starts handled at once; longer texts are parsed in pieces.
