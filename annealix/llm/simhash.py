@@ -124,7 +124,11 @@ def fingerprints(rows: DataFrame, *, words: int = 3) -> DataFrame:
 
 
 def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
-    """a, b: pairs of distinct fingerprints (a < b) that differ in up to ``threshold`` bits. ``fps`` has distinct ``fp``."""
+    """a, b: pairs of distinct fingerprints (a < b) that differ in up to ``threshold`` bits. ``fps`` has distinct ``fp``.
+
+    Spark takes the replicas, about 60 for a fingerprint at two bits, to be as
+    few as the fingerprints, and so would broadcast them; the hint forbids it.
+    """
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,7 +143,7 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
     homes = fps.select("fp").mapInArrow(at_home, "a long, anchor long")
     spreads = fps.select("fp").mapInArrow(spread, "b long, anchor long")
-    return homes.alias("h").join(spreads.alias("s"), (F.col("h.anchor") == F.col("s.anchor")) & (F.col("a") < F.col("b")) & near).select("a", "b")
+    return homes.hint("merge").alias("h").join(spreads.alias("s"), (F.col("h.anchor") == F.col("s.anchor")) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
 
 def _components(rows: DataFrame, threshold: int) -> DataFrame:

@@ -55,6 +55,18 @@ def test_components_equal_brute_force(spark):
     assert len(set(comp)) < len(texts) - 10
 
 
+def test_replicas_are_not_broadcast(spark, tmp_path):
+    r = np.random.default_rng(7)
+    x = r.integers(-(2**62), 2**62, 500, np.int64)
+    fps = np.unique(np.concatenate((x, x[:50] ^ 5, x[:20] ^ 7))).tolist()
+    spark.createDataFrame([(f,) for f in fps], "fp long").write.parquet(f"file://{tmp_path}/fps")
+    pairs = simhash.links(spark.read.parquet(f"file://{tmp_path}/fps"))
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(p) for p in pairs.collect())
+    assert got == [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2]
+    assert len(got) >= 70
+
+
 def test_chain_and_empty(spark):
     n = 200
     ids = list(range(n))
