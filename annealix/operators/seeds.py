@@ -77,6 +77,20 @@ def windows(diags: DataFrame, targets: DataFrame, seq: str = "seq") -> DataFrame
     return joined.withColumn("start", start).withColumn("stop", stop).select("oligo", "strand", "target_id", "diagonal", "start", "stop", F.substring(F.col(seq), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("window"))
 
 
+def perfect_windows(oligos: DataFrame, targets: DataFrame, length: int, seq: str = "seq") -> DataFrame:
+    """Windows, without flanks, of all places where oligos of ``length`` plain bases bind whole, without mismatch or gap.
+
+    Such a place is one seed as long as the oligo, so none is lost, and the
+    chance hits of shorter seeds, which grow with oligos times targets, are not
+    made. The target reads there as the seed does. Targets are dealt out anew,
+    as a small file may hold many.
+    """
+    whole = oligos.where(F.length("oligo") == length)
+    hits = seed_hits(whole, targets.select("target_id", seq).repartition("target_id"), length, seq)
+    window = F.when(F.col("strand") == "-", F.col("oligo")).otherwise(revcomp(F.col("oligo")))
+    return hits.select("oligo", "strand", "target_id", F.col("t").alias("diagonal"), F.col("t").alias("start"), (F.col("t") + length).alias("stop"), window.alias("window"))
+
+
 def pieces(targets: DataFrame, width: int, beyond: int) -> DataFrame:
     """target_id, piece, text: the bases from piece * width on, ``width`` and ``beyond`` more of them."""
     cut = targets.select("target_id", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0)).alias("cut"))

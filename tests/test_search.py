@@ -178,6 +178,20 @@ def test_seeds_skip_odd_bases(spark):
     assert hits.where("target_id = 1").count() == 0
 
 
+def test_perfect_sites_near_each_other(spark):
+    """Two sites four bases apart are both found, on each strand; a site with a mismatch or an odd base is not."""
+    oligo = "ACGGACGGACGGACGGAC"
+    long = "TTTCA" + oligo + "GGAC" + "TTGAT"
+    wrong = oligo[:9] + "T" + oligo[10:]
+    t = target(spark, long, rc(long), wrong, oligo[:9] + "N" + oligo[10:], "ACG", oligo)
+    o = spark.createDataFrame([(oligo,), ("ACG",)], "oligo string")
+    win = seeds.perfect_windows(o, t, 18).withColumn("ct", F.lit(9e-7))
+    got = bindings.unique(bindings.within(bindings.bind(win), max_mismatch=0, max_gap=0), "oligo", "target_id").collect()
+    n = len(long)
+    want = [(0, "-", 5, 22), (0, "-", 9, 26), (1, "+", n - 27, n - 10), (1, "+", n - 23, n - 6), (5, "-", 0, 17)]
+    assert sorted((x.target_id, x.strand, x.loc_5, x.loc_3) for x in got) == want
+
+
 def test_validation():
     assert SearchConfig().validate().max_len == 2000
     for bad in ({"salt": 1.0}, {"primer_ct": 0}, {"word_length": 9}, {"assay": "X"}, {"min_primer_tm": 80, "max_primer_tm": 60}, {"target_strand": "x"}):
